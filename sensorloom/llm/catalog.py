@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontam, langid, licenses, media, mixing, sharding, tokens, toxicity
+from sensorloom.llm import decontam, langid, licenses, media, mixing, ngram_join, sharding, substring, tokens, toxicity
 from sensorloom.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -16,6 +16,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokens.token_counts(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -63,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_token_counts, op4_sharding, op5_mixing, op6_language_id, op7_media, op8_toxicity, op9_decontamination, op10_licenses)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_token_counts, op4_sharding, op5_mixing, op6_language_id, op7_media, op8_toxicity, op9_decontamination, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,7 +45,7 @@ def yaw_quaternion(yaw: Column) -> tuple[Column, Column]:
 
 def rotated_covariance(va: Column, vc: Column, yaw: Column) -> tuple[Column, Column, Column]:
     """xx, xy, yy of a covariance given along and across; negative counts as 0, unknown as 1e6."""
-    clean = lambda v: F.coalesce(F.greatest(finite(v), F.lit(0.0)), F.lit(1e6))
+    clean = lambda v: F.when(finite(v).isNull(), 1e6).otherwise(F.greatest(v, F.lit(0.0)))
     a, b, c, s = clean(va), clean(vc), F.cos(yaw), F.sin(yaw)
     return a * c * c + b * s * s, (a - b) * c * s, a * s * s + b * c * c
 

@@ -1 +1,15 @@
+"""Every registered query of the telemetry engine."""
 
+from __future__ import annotations
+
+from sensorloom.plans import joins, metrics, registry, rows, windows
+
+MODULES = (joins, windows, rows, metrics)
+
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)

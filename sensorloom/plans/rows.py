@@ -213,16 +213,16 @@ def _(s, d):
 ARC = "pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front WHERE run < 40), ar AS (SELECT run, seq, t, x, y, sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY run ORDER BY t, seq) AS arc FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq)))"
 
 
-@register("g1_arc_length_and_resampling", over(ARC + ", q AS (SELECT run, 50.0 * k AS arc FROM (SELECT DISTINCT run FROM ar) CROSS JOIN generate_series(0, 6) g(k)), lo AS (SELECT q.run, q.arc AS at, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS at, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, at, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (at - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, at)"))
+@register("g1_arc_length_and_resampling", over(ARC + ", q AS (SELECT run, 50.0 * k AS arc FROM (SELECT DISTINCT run FROM ar) CROSS JOIN generate_series(0, 6) g(k)), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
 def _(s, d):
     from sensorloom.operators import timeops
 
     p = front(s, d).filter("run < 40").select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))
     dx, dy = F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W)
     arc = p.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).select("run", "seq", "x", F.sum("step").over(so_far(W)).alias("arc"))
-    grid = arc.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0)).alias("at"))
-    out = timeops.interpolate(grid.withColumnRenamed("at", "arc"), arc, value="x", t="arc", out="x")
-    return out.select("run", F.col("arc").alias("at"), *r6("x"))
+    grid = arc.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0)).alias("way"))
+    out = timeops.interpolate(grid.withColumnRenamed("way", "arc"), arc, value="x", t="arc", out="x")
+    return out.select("run", F.col("arc").alias("way"), *r6("x"))
 
 
 @register("g2_heading_profile", over("pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front), h AS (SELECT run, seq, t, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS yaw FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq))", "SELECT run, seq, round(yaw, 6) AS yaw, round(yaw - lag(yaw) OVER (PARTITION BY run ORDER BY t, seq), 6) AS turn FROM h"))
@@ -232,7 +232,7 @@ def _(s, d):
     return h.select("run", "seq", F.round("yaw", 6).alias("yaw"), F.round(F.col("yaw") - F.lag("yaw").over(W), 6).alias("turn"))
 
 
-@register("g3_pose_lookup", over(_segments_sql() + ", tot AS (SELECT max(arc + n) AS len FROM g), q AS (SELECT run, seq, least(greatest(v / 100 - 0.1, 0), len) AS at FROM front, tot)", "SELECT run, seq, round(arg_max(gx + (at - arc) * ux, arc), 6) AS px, round(arg_max(gy + (at - arc) * uy, arc), 6) AS py FROM q JOIN g ON arc <= at GROUP BY run, seq"))
+@register("g3_pose_lookup", over(_segments_sql() + ", tot AS (SELECT max(arc + n) AS len FROM g), q AS (SELECT run, seq, least(greatest(v / 100 - 0.1, 0), len) AS q_at FROM front, tot)", "SELECT run, seq, round(arg_max(gx + (q_at - arc) * ux, arc), 6) AS px, round(arg_max(gy + (q_at - arc) * uy, arc), 6) AS py FROM q JOIN g ON arc <= q_at GROUP BY run, seq"))
 def _(s, d):
     return geometry.pose_at(front(s, d).withColumn("s", F.col("v") / 100 - 0.1), LINE).select("run", "seq", *r6("px", "py"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontam, langid, licenses, media, mixing, ngram_join, sharding, substring, tokens, toxicity
+from sensorloom.llm import decontam, langid, licenses, media, mixing, ngram_join, oracles, sharding, substring, tokens, toxicity
 from sensorloom.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -75,4 +75,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()

@@ -194,7 +194,8 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
 
     rows = docs.select(F.struct(*columns).alias("__row"), docs[source_col].alias("source"), word_count(text_col).alias("size"), u.alias("u"))
     mixed = _joined(rows, params, n_sources)
-    return mixed.select("__row.*", "size", "source_size", "target", _rate(cap).alias("rate"), _final(cap).alias("copies"), (_final(cap) * F.col("size")).alias("taken"))
+    added = mixed.select("__row", "size", "source_size", "target", _rate(cap).alias("rate"), _final(cap).alias("copies"), (_final(cap) * F.col("size")).alias("taken"))
+    return added.select("__row.*", *ADDED)
 
 
 def mixed_copies(mixed: DataFrame) -> DataFrame:

@@ -148,11 +148,12 @@ def _subset_cost(a: int, below: int) -> int:
 
 
 def boundary(sizes: dict[int, int], largest: int = 24) -> int:
-    """Where enumeration stops: the least total of subsets below and list entries from there on."""
+    """Where enumeration stops: the least total of subsets below and, from there on, of elements
+    that are counted for the lists and entries of the lists."""
     best, at = None, 1
     for x in range(1, largest + 1):
         subsets = sum(n * _subset_cost(a, x) for a, n in sizes.items() if a < x)
-        entries = sum(n * (a - least_overlap(a) + 1) for a, n in sizes.items() if a >= least_overlap(x))
+        entries = sum(n * (2 * a - least_overlap(a) + 1) for a, n in sizes.items() if a >= least_overlap(x))
         if best is None or subsets + entries < best:
             best, at = subsets + entries, x
     return at

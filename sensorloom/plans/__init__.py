@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.plans import joins, metrics, registry, rows, windows
+from sensorloom.plans import joins, metrics, registry, rows, stateful, windows
 
-MODULES = (joins, windows, rows, metrics)
+MODULES = (joins, windows, rows, metrics, stateful)
 
 
 def queries() -> dict[str, registry.Query]:

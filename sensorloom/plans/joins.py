@@ -112,17 +112,17 @@ def _(s, d):
     return m.select("run", "seq", "rank", F.row_number().over(Window.partitionBy("run").orderBy("t", "rank", "seq")).cast("long").alias("place"))
 
 
-POINTS = "p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+POINTS = "p AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 
 
 def _points(s, d):
-    return read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
-@register("j15_nearest_point", f"WITH {POINTS}, n AS (SELECT a.id, b.id AS point, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS dist FROM p a, p b WHERE b.id % 10 = 0 AND a.id % 10 = 1) SELECT id AS row, arg_min(point, (dist, point)) AS point, round(min(dist), 6) AS dist FROM n WHERE dist <= 0.05 GROUP BY id")
+@register("j15_nearest_point", f"WITH {POINTS}, n AS (SELECT a.id, b.id AS point, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS dist FROM p a, p b WHERE b.label = 0 AND a.label <> 0) SELECT id AS row, arg_min(point, (dist, point)) AS point, round(min(dist), 6) AS dist FROM n WHERE dist <= 0.05 GROUP BY id")
 def _(s, d):
-    p = _points(s, d)
-    return geometry.nearest_point(p.filter("id % 10 = 1").withColumnRenamed("id", "row"), p.filter("id % 10 = 0").withColumnRenamed("id", "point"), radius=0.05).select("row", "point", *r6("dist"))
+    p = _points(s, d)  # those of label 0 are the map
+    return geometry.nearest_point(p.filter("label <> 0").withColumnRenamed("id", "row"), p.filter("label = 0").withColumnRenamed("id", "point"), radius=0.05).select("row", "point", *r6("dist"))
 
 
 LINE = [(-0.4, -0.3), (-0.1, -0.05), (0.05, 0.0), (0.2, 0.25), (0.5, 0.3)]

@@ -108,7 +108,7 @@ def _(s, d):
 
 @register("a11_by_dimensions", f"SELECT coalesce(c_mktsegment, 'all') AS segment, coalesce(n_name, 'all') AS nation, count(*) AS n, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((), (c_mktsegment), (n_name))")
 def _(s, d):
-    o = read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     seg, nat = F.col("c_mktsegment"), F.col("n_name")
     g = o.groupingSets([[], [seg], [nat]], seg, nat).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("o_totalprice"), 4).alias("median"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("p90"))
     return g.select(F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), F.coalesce("n_name", F.lit("all")).alias("nation"), "n", "median", "p90")
@@ -119,10 +119,10 @@ def _(s, d):
     return agg.worst(_long(s, d)).select("metric", "run", F.round("value", 6).alias("value"), F.col("rank").cast("long").alias("rank"))
 
 
-@register("a13_robustness_roll_up", over("c AS (SELECT run, stream, count(*) AS n, sum(CASE WHEN v > 150 THEN 1 ELSE 0 END) AS high FROM s GROUP BY ALL)", "SELECT stream, median(n) AS median, min(n) AS least, max(n) AS most, sum(high)::BIGINT AS high, coalesce(string_agg(CASE WHEN high = 0 AND run < 10 THEN run::VARCHAR END, ',' ORDER BY run), '') AS clean_runs FROM c GROUP BY stream"))
+@register("a13_robustness_roll_up", over("c AS (SELECT run, stream, count(*) AS n, sum(CASE WHEN v > 150 THEN 1 ELSE 0 END) AS high FROM s GROUP BY ALL)", "SELECT stream, median(n) AS median, min(n) AS least, max(n) AS most, sum(high)::BIGINT AS high, coalesce(string_agg(CASE WHEN high = 0 THEN run::VARCHAR END, ',' ORDER BY run), '') AS clean_runs FROM c GROUP BY stream"))
 def _(s, d):
     c = log(s, d).groupBy("run", "stream").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") > 150).alias("high"))
-    clean = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("high") == 0) & (F.col("run") < 10), F.col("run")))), lambda x: x.cast("string")), ",")
+    clean = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("high") == 0, F.col("run")))), lambda x: x.cast("string")), ",")
     return c.groupBy("stream").agg(F.median("n").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("high").alias("high"), clean.alias("clean_runs"))
 
 
@@ -314,7 +314,7 @@ def _(s, d):
     i = log(s, d).groupBy("run").agg((F.first("run") % 7).alias("vehicle"), F.floor(F.min("t") / F.lit(86_400_000_000)).alias("day"), F.count(F.lit(1)).alias("n"), fp.alias("fp"))
     folds = i.select("vehicle").distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy("vehicle")) - 1).cast("long"))
     first = i.groupBy("fp").agg(F.min("run").alias("holder"))
-    return i.join(first, "fp").join(F.broadcast(folds), "vehicle").select("run", "vehicle", "day", "fold", (F.col("holder") != F.col("run")).alias("is_copy"), (F.col("n") >= 60).alias("usable"))
+    return i.join(first, "fp").join(folds, "vehicle").select("run", "vehicle", "day", "fold", (F.col("holder") != F.col("run")).alias("is_copy"), (F.col("n") >= 60).alias("usable"))
 
 
 @register("e5_summary_and_comparison", over("a AS (SELECT run, avg(v) AS m, stddev_pop(v) AS sd FROM front GROUP BY run), b AS (SELECT run, avg(v) AS m, stddev_pop(v) AS sd FROM rear GROUP BY run), j AS (SELECT run, unnest(['mean', 'spread']) AS metric, unnest([a.m, a.sd]) AS va, unnest([b.m, b.sd]) AS vb FROM a JOIN b USING (run))", "SELECT metric, count(*) AS n, round(median(va), 6) AS a, round(median(vb), 6) AS b, round(median(vb - va), 6) AS change, sum(CASE WHEN vb < va THEN 1 ELSE 0 END)::BIGINT AS better FROM j GROUP BY metric"))

@@ -210,14 +210,14 @@ def _(s, d):
 
 # --- geometry -------------------------------------------------------------------------------
 
-ARC = "pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front WHERE run < 40), ar AS (SELECT run, seq, t, x, y, sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY run ORDER BY t, seq) AS arc FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq)))"
+ARC = "pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front), ar AS (SELECT run, seq, t, x, y, sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY run ORDER BY t, seq) AS arc FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq)))"
 
 
 @register("g1_arc_length_and_resampling", over(ARC + ", q AS (SELECT run, 50.0 * k AS arc FROM (SELECT DISTINCT run FROM ar) CROSS JOIN generate_series(0, 6) g(k)), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
 def _(s, d):
     from sensorloom.operators import timeops
 
-    p = front(s, d).filter("run < 40").select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))
+    p = front(s, d).select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))
     dx, dy = F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W)
     arc = p.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).select("run", "seq", "x", F.sum("step").over(so_far(W)).alias("arc"))
     grid = arc.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0)).alias("way"))

@@ -6,6 +6,7 @@ windows have equal anchors, so runs of windows with one anchor ("segments") can
 
 1. One scan hashes anchors; those that occur once are done with (``repeats``).
 2. Documents with others are read again.  Equal segments are one: all but its first occurrence go.
+   A segment is a run of windows with one anchor hash, so periodic text is one segment.
    An anchor with very many different segments is dealt by window instead, so no shard grows with it.
 3. Different segments with one anchor meet in a shard.  The shard is FM-indexed, and backward search
    over the wavelet tree gives each streamed window's matching statistic; where it reaches the
@@ -39,12 +40,15 @@ ANCHOR, SHARD_WORDS, HOT = 8, 200_000, 1000
 _SCAN = "kind int, bucket int, chunk long, keys binary, payload binary, ids array<long>, dig array<long>, words array<long>, sha array<string>, counts array<int>, known binary"
 
 
-def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each segment of one document."""
+def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window, number of windows and number of anchor places of each segment.
+
+    A segment is a run of windows with one anchor hash; in periodic text it has several places.
+    """
     n = len(hashes) - window + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return np.empty(0, _U), empty, empty
+        return np.empty(0, _U), empty, empty, empty
     grams = gram_hashes(hashes, ANCHOR)
     least, at = grams[:n].copy(), np.zeros(n, np.int64)
     for k in range(1, window - ANCHOR + 1):
@@ -53,19 +57,15 @@ def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
         np.copyto(least, g, where=less)
         np.copyto(at, k, where=less)
     place = at + np.arange(n)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return least[first], first, np.diff(np.r_[first, n])
+    moved = np.r_[True, place[1:] != place[:-1]]
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[first], first, np.diff(np.r_[first, n]), np.add.reduceat(moved.astype(np.int64), first)
 
 
 def _digest(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _two(text: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(text, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -84,12 +84,15 @@ def _scan(window: int, buckets: int):
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64())), ("dig", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("sha", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("known", pa.binary())])
         part, no, n = TaskContext.get().partitionId(), 0, 0
         keys: list[np.ndarray] = []
+        own: list[np.ndarray] = []
+        inside: list[tuple[np.ndarray, np.ndarray]] = []
         docs: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             chunk = (part << 24) + no
-            every = np.concatenate([np.empty(0, _U), *keys])
-            blocks, known = repeats.split(every, np.arange(len(every), dtype=np.uint32), buckets)
+            every = np.concatenate([np.empty(0, _U), *keys, *(k for k, _ in inside)])
+            owner = np.concatenate([np.empty(0, np.uint32), *own, *(o for _, o in inside)])
+            blocks, known = repeats.split(every, owner, buckets)
             rows = [{"kind": 0, "bucket": b, "chunk": chunk, "keys": x, "payload": y} for b, x, y in blocks]
             cols = [list(c) for c in zip(*docs, strict=True)]
             rows.append({"kind": 1, "bucket": -1, "chunk": chunk, "ids": cols[0], "dig": cols[1], "words": cols[2], "sha": cols[3], "counts": cols[4], "known": repeats.pack(known)})
@@ -98,13 +101,16 @@ def _scan(window: int, buckets: int):
         for batch in batches:
             ids = batch.column("i").to_pylist()
             for row, text, words, a, b in _documents(batch):
-                h, _, _ = segments(words.hashes[a:b], window)
+                h, _, _, places = segments(words.hashes[a:b], window)
+                twice = np.flatnonzero(places > 1)  # repeats inside the segment: known at once
                 keys.append(h)
+                own.append(np.arange(n, n + len(h), dtype=np.uint32))
+                inside.append((h[twice], own[-1][twice]))
                 n += len(h)
                 docs.append((ids[row], _digest(text), b - a, _sha(text.split()), len(h)))
                 if n >= repeats.BLOCK_KEYS or len(docs) >= 100_000:
                     yield flush()
-                    no, n, keys, docs = no + 1, 0, [], []
+                    no, n, keys, own, inside, docs = no + 1, 0, [], [], [], []
         if docs:
             yield flush()
 
@@ -120,7 +126,7 @@ def _tell(table: pa.Table) -> pa.Table:
     """One block's documents with the numbers of their segments whose anchor repeats."""
     own = table.filter(pc.is_valid(table["ids"]))
     found = [repeats.unpack(x, np.uint32) for x in [own["known"][0].as_py(), *table["payload"].drop_null().to_pylist()]]
-    every = np.sort(np.concatenate(found)).astype(np.int64)
+    every = np.unique(np.concatenate(found)).astype(np.int64)
     ends = np.cumsum(np.array(own["counts"][0].as_py(), np.int64))
     cut = np.searchsorted(every, ends)
     starts = np.r_[0, ends[:-1]]
@@ -138,23 +144,26 @@ def _only_own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(window: int, by_window: bool):
-    """(h, d1, d2, doc_id, dig, at, n, no): wanted segments, or their windows one by one."""
+    """(h, d, doc_id, dig, at, n, no, inner): wanted segments, or their windows one by one.
+
+    Anchor and digest tell a segment's text with 128 bits; windows dealt alone have two digests.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digs, wanted = (batch.column(c).to_pylist() for c in ("doc_id", "dig", "segs"))
             out: list[tuple] = []
             for row, _, words, a, b in _documents(batch):
-                h, first, n = segments(words.hashes[a:b], window)
+                h, first, n, places = segments(words.hashes[a:b], window)
                 for s in wanted[row]:
                     i, m = int(first[s]), int(n[s])
                     if by_window:
                         for j in range(i, i + m):
-                            d = _two(b" ".join(words.span(a + j, a + j + window - 1).split()))
-                            out.append((d[0], *d, ids[row], digs[row], j, 1, s))
+                            text = b" ".join(words.span(a + j, a + j + window - 1).split())
+                            out.append((_digest(b"window " + text), _digest(text), ids[row], digs[row], j, 1, s, False))
                     else:
-                        d = _two(b" ".join(words.span(a + i, a + i + m + window - 2).split()))
-                        out.append((int(h[s].astype(np.int64)), *d, ids[row], digs[row], i, m, s))
+                        d = _digest(b" ".join(words.span(a + i, a + i + m + window - 2).split()))
+                        out.append((int(h[s].astype(np.int64)), d, ids[row], digs[row], i, m, s, bool(places[s] > 1)))
                 if len(out) > 50_000:
                     yield _batch(out)
                     out = []
@@ -162,26 +171,26 @@ def _occurrences(window: int, by_window: bool):
                 yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "d1", "d2", "doc_id", "dig", "at", "n", "no"])
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "d", "doc_id", "dig", "at", "n", "no", "inner"])
 
     return run
 
 
-_OCC = "h long, d1 long, d2 long, doc_id long, dig long, at int, n int, no int"
+_OCC = "h long, d long, doc_id long, dig long, at int, n int, no int, inner boolean"
 
 
 def _spell(window: int):
-    """Words of the wanted segments: (h, d1, d2, doc_id, dig, at, n, words)."""
+    """Words of the wanted segments: (h, d, doc_id, dig, at, n, words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digs, wanted = (batch.column(c).to_pylist() for c in ("doc_id", "dig", "need"))
             for row, _, words, a, _b in _documents(batch):
-                out = [(w["h"], w["d1"], w["d2"], ids[row], digs[row], w["at"], w["n"], words.span(a + w["at"], a + w["at"] + w["n"] + window - 2)) for w in wanted[row]]
+                out = [(w["h"], w["d"], ids[row], digs[row], w["at"], w["n"], words.span(a + w["at"], a + w["at"] + w["n"] + window - 2)) for w in wanted[row]]
                 if out:
-                    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "d1", "d2", "doc_id", "dig", "at", "n", "words"])
+                    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "d", "doc_id", "dig", "at", "n", "words"])
 
     return run
 
@@ -221,7 +230,7 @@ def _shard(window: int):
         cols = {c: table[c].to_pylist() for c in ("doc_id", "dig", "at", "words")}
         rows = [((i is None, i or 0, d), at, w.split()) for i, d, at, w in zip(*cols.values(), strict=True)]
         gone = search_shard(rows, window)
-        return pa.table({"h": table["h"], "d1": table["d1"], "d2": table["d2"], "gone": pa.array([np.packbits(g).tobytes() for g in gone], pa.binary())})
+        return pa.table({"h": table["h"], "d": table["d"], "gone": pa.array([np.packbits(g).tobytes() for g in gone], pa.binary())})
 
     return run
 
@@ -253,8 +262,10 @@ def _rebuild(window: int):
     return run
 
 
-def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS // 10 else df
+def _side(df: DataFrame, lists: str) -> DataFrame:
+    """Broadcast while rows and entries of their lists are few, else shuffled."""
+    size = df.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hot: int = HOT, shard_words: int = SHARD_WORDS, with_text: bool = True) -> DataFrame:
@@ -273,15 +284,24 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     some = rows.filter(F.size("segs") > 0).select("doc_id", "dig", "segs").dropDuplicates(["doc_id", "dig"])
     # Texts with repeated anchors, kept aside: the later steps read these only.
-    cand = materialise(source.join(_side(some), F.col("i").eqNullSafe(F.col("doc_id"))).select("doc_id", "dig", "segs", "t").mapInArrow(_only_own, "doc_id long, dig long, segs array<int>, t string"), "dedup-texts")
+    found = source.join(_side(some, "segs"), F.col("i").eqNullSafe(F.col("doc_id"))).select("doc_id", "dig", "segs", "t")
+    one_each = rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if one_each:
+        found = found.withColumn("dig", F.lit(0).cast("long"))  # the id alone tells the document
+    else:
+        found = found.mapInArrow(_only_own, "doc_id long, dig long, segs array<int>, t string")
+    cand = materialise(found, "dedup-texts")
     occ = materialise(cand.mapInArrow(_occurrences(window, False), _OCC), "dedup-places")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("dig").alias("dig"), F.col("at").alias("at"))
 
     def firsts(of: DataFrame) -> DataFrame:
-        return of.groupBy("h", "d1", "d2").agg(F.min(place).alias("first"), F.first("n").alias("n"))
+        return of.groupBy("h", "d").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner"))
+
+    def several_of(of: DataFrame) -> DataFrame:
+        return of.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("inner").alias("any_inner"))
 
     each = materialise(firsts(occ), "dedup-first")
-    texts_of = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    texts_of = several_of(each)
     hot_ones = materialise(texts_of.filter(F.col("c") > hot).select("h"), "dedup-hot")
     if not hot_ones.isEmpty():
         hot_segs = occ.join(hot_ones, "h").groupBy("doc_id", "dig").agg(F.collect_set("no").alias("segs")).select(F.col("doc_id").alias("__id"), F.col("dig").alias("__dig"), "segs")
@@ -289,22 +309,24 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         windows = again.mapInArrow(_occurrences(window, True), _OCC)
         occ = materialise(occ.join(hot_ones, "h", "left_anti").select(*occ.columns).union(windows), "dedup-places")
         each = materialise(firsts(occ), "dedup-first")
-        texts_of = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+        texts_of = several_of(each)
 
-    several = materialise(each.join(texts_of.filter("c > 1").select("h"), "h").select("h", "d1", "d2", "first", "n"), "dedup-several")
+    several = materialise(each.join(texts_of.filter("c > 1 or any_inner").select("h"), "h").select("h", "d", "first", "n"), "dedup-several")
     n_words = several.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
-    need = several.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.dig").alias("__dig")).agg(F.collect_list(F.struct("h", "d1", "d2", F.col("first.at").alias("at"), "n")).alias("need"))
+    need = several.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.dig").alias("__dig")).agg(F.collect_list(F.struct("h", "d", F.col("first.at").alias("at"), "n")).alias("need"))
     spelled = (
-        cand.dropDuplicates(["doc_id", "dig"]).join(need, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("dig") == F.col("__dig")))
-        .select("doc_id", "dig", "need", "t").mapInArrow(_spell(window), "h long, d1 long, d2 long, doc_id long, dig long, at int, n int, words binary")
+        (cand if one_each else cand.dropDuplicates(["doc_id", "dig"])).join(need, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("dig") == F.col("__dig")))
+        .select("doc_id", "dig", "need", "t").mapInArrow(_spell(window), "h long, d long, doc_id long, dig long, at int, n int, words binary")
     )
     shards = max(1, -(-n_words // shard_words))
-    searched = spelled.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(window), "h long, d1 long, d2 long, gone binary")
+    searched = spelled.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(window), "h long, d long, gone binary")
     searched = materialise(searched, "dedup-searched")
 
-    key = ["h", "d1", "d2"]
+    key = ["h", "d"]
+    # One plain side: the join with all places can split a segment that very many documents hold.
+    told = materialise(each.join(searched, key, "left").select(*key, "first", "gone"), "dedup-told")
     marks = (
-        occ.join(each.select(*key, "first"), key).join(searched, key, "left")
+        occ.join(told, key)
         .withColumn("again", place != F.col("first"))
         .filter("again or gone is not null")
         .select(F.col("doc_id").alias("__id"), F.col("dig").alias("__dig"), F.struct("at", "n", F.when(~F.col("again"), F.col("gone")).alias("gone")).alias("mark"))

@@ -30,6 +30,12 @@ def test_removed_words_equal_brute_force(spark, hot):
     assert all(r.kept is not None and len(r.kept.split()) == r.n_words - r.n_removed for r in out if r.n_removed)
 
 
+def test_periodic_texts(spark):
+    rows = [(k, t, "en", "a") for k, t in enumerate(["for " * 300, "x " + "for " * 25 + "y", "a b " * 60, "b a " * 15 + "end", " ".join(f"w{j % 9}" for j in range(90)), "for " * 19, "for " * 20])]
+    out = substring.drop_repeats(documents(spark, rows), with_text=False).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == expected(rows)
+
+
 def test_empty_table(spark):
     assert substring.drop_repeats(empty(spark)).collect() == []
 
@@ -55,7 +61,7 @@ def test_equal_windows_have_equal_anchors():
     b[30:55] = a[10:35]
 
     def anchors(h):
-        key, first, n = substring.segments(h, 20)
+        key, first, n, places = substring.segments(h, 20)
         return np.repeat(key, n)
 
     assert (anchors(a)[10:16] == anchors(b)[30:36]).all()

@@ -258,7 +258,7 @@ def _link(sets: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """``node, label`` of all sets that are linked with another."""
     shares = lists.groupBy("sid").agg(F.count(F.lit(1)).alias("shares"))
     members = materialise(lists.join(shares, "sid").withColumn("label", F.col("sid")), "join-members")
-    links = None
+    links = labels = None
     done, pivots = 0, 1
     while True:
         span = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("len")).filter("lo <> hi")
@@ -268,9 +268,10 @@ def _link(sets: DataFrame, lists: DataFrame, k: int) -> DataFrame:
             break
         live = materialise(members.join(open_lists.select("h"), "h"), "join-live")
         rank = Window.partitionBy("h").orderBy(F.desc("shares"), "sid")
-        # row_number up to a constant is cut before the shuffle, so long lists stay in their tasks
+        # row_number up to a constant is cut before the shuffle, so a long list sends its first rows only
         chosen = live.withColumn("no", F.row_number().over(rank)).filter(F.col("no") <= pivots).filter(F.col("no") > done)
         chosen = chosen.select("h", F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("place").alias("pplace"), F.col("label").alias("plabel"), F.col("shares").alias("pshares"))
+        chosen = materialise(chosen, "join-pivots")  # a plain side: the join below can split long lists
         need = F.ceil((F.col("n") + F.col("pn")) * _T / (_T + _OF))
         room = 1 + F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pplace"))
         later = (F.col("shares") < F.col("pshares")) | ((F.col("shares") == F.col("pshares")) & (F.col("sid") > F.col("pivot")))
@@ -290,7 +291,7 @@ def _link(sets: DataFrame, lists: DataFrame, k: int) -> DataFrame:
         labels = components(links)
         members = live.drop("label").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         members = materialise(members.select(*live.columns), "join-members")
-    return components(links) if links is not None else members.select(F.col("sid").alias("node"), "label").limit(0)
+    return labels if labels is not None else members.select(F.col("sid").alias("node"), "label").limit(0)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -12,7 +12,6 @@ from sensorloom.plans.joins import near
 from sensorloom.plans.registry import HOUR, front, log, over, r6, read, rear, register
 from sensorloom.plans.windows import FLAGSHIP, ISLANDS, REGIME_SQL, with_regime
 
-W = line()
 DAY = 24 * HOUR
 TOL = 6 * HOUR
 E = "e AS (SELECT run, seq, t, r_t, r_v - v AS e, v FROM near)"
@@ -245,14 +244,14 @@ def _(s, d):
 
 @register("a33_autocorrelation", over("l AS (SELECT run, v, lag(v) OVER (PARTITION BY run ORDER BY t, seq) AS pv FROM s), z AS (SELECT run, corr(v, pv) AS r1, avg(CASE WHEN v * v / 2500 > 9 THEN 1.0 ELSE 0.0 END) AS over9, count(pv) AS n FROM l GROUP BY run)", "SELECT run, CASE WHEN NOT isnan(r1) THEN round(r1, 6) END AS r1, round(over9, 6) AS over9 FROM z WHERE n > 2"))
 def _(s, d):
-    x = log(s, d).withColumn("pv", F.lag("v").over(W))
+    x = log(s, d).withColumn("pv", F.lag("v").over(line()))
     z = x.groupBy("run").agg(F.round(F.corr("v", "pv"), 6).alias("r1"), F.round(F.avg((F.col("v") * F.col("v") / 2500 > 9).cast("double")), 6).alias("over9"), F.count("pv").alias("n"))
     return z.filter("n > 2").drop("n")
 
 
 @register("a34_horizon_errors", over("h AS (SELECT unnest([1, 2, 5]) AS horizon), w AS (SELECT run, seq, v, lead(v, 1) OVER o AS v1, lead(v, 2) OVER o AS v2, lead(v, 5) OVER o AS v5 FROM front WINDOW o AS (PARTITION BY run ORDER BY t, seq)), e AS (SELECT horizon, CASE horizon WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE v5 END - v AS e FROM w, h)", "SELECT horizon::INT AS horizon, count(e) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias, round(quantile_cont(abs(e), 0.9), 6) AS p90 FROM e GROUP BY horizon"))
 def _(s, d):
-    w = front(s, d).select(*[(F.lead("v", k).over(W) - F.col("v")).alias(str(k)) for k in (1, 2, 5)])
+    w = front(s, d).select(*[(F.lead("v", k).over(line()) - F.col("v")).alias(str(k)) for k in (1, 2, 5)])
     e = w.unpivot([], ["1", "2", "5"], "horizon", "e").withColumn("horizon", F.col("horizon").cast("int"))
     return rounded(e.groupBy("horizon").agg(F.count("e").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.percentile(F.abs("e"), F.lit(0.9)).alias("p90")), "horizon")
 

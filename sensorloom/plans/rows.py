@@ -14,7 +14,6 @@ from sensorloom.plans.joins import LINE, _segments_sql
 from sensorloom.plans.registry import HOUR, cmd, front, log, over, r6, rear, register
 from sensorloom.sources.catalog import resolve, select_runs
 
-W = line()
 DAY = 24 * HOUR
 
 
@@ -177,7 +176,7 @@ def _(s, d):
 @register("p17_output_validity", over("x AS (SELECT run, t, seq, CASE WHEN seq % 19 = 0 THEN NULL ELSE v - 5 END AS v FROM front), g AS (SELECT *, v - lag(v) OVER (PARTITION BY run ORDER BY t, seq) AS dv FROM x)", "SELECT run, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END)::BIGINT AS not_finite, sum(CASE WHEN v < 0 THEN 1 ELSE 0 END)::BIGINT AS negative, round(max(abs(dv)), 6) AS largest_step, round((count(*) - 1) / ((max(t) - min(t)) / 1e9), 6) AS rate FROM g GROUP BY run HAVING count(*) > 1"))
 def _(s, d):
     x = front(s, d).withColumn("v", scalars.finite(F.when(F.col("seq") % 19 == 0, float("nan")).otherwise(F.col("v") - 5)))
-    g = x.withColumn("dv", F.col("v") - F.lag("v").over(W)).groupBy("run").agg(
+    g = x.withColumn("dv", F.col("v") - F.lag("v").over(line())).groupBy("run").agg(
         F.count_if(F.col("v").isNull()).alias("not_finite"), F.count_if(F.col("v") < 0).alias("negative"), F.round(F.max(F.abs("dv")), 6).alias("largest_step"),
         F.round((F.count(F.lit(1)) - 1) / ((F.max("t") - F.min("t")) / 1e9), 6).alias("rate"), F.count(F.lit(1)).alias("n"),
     )
@@ -193,7 +192,7 @@ def _(s, d):
 
 @register("p19_clean_sample_mask", over("n AS (SELECT run, seq, v, row_number() OVER (PARTITION BY run ORDER BY t, seq) AS i FROM s WHERE abs(v - 40) < 30)", "SELECT run, seq FROM n WHERE i % 2 = 1"))
 def _(s, d):
-    return log(s, d).filter(F.abs(F.col("v") - 40) < 30).withColumn("i", F.row_number().over(W)).filter("i % 2 = 1").select("run", "seq")
+    return log(s, d).filter(F.abs(F.col("v") - 40) < 30).withColumn("i", F.row_number().over(line())).filter("i % 2 = 1").select("run", "seq")
 
 
 @register("p20_slip_and_adhesion", over("a AS (SELECT run, avg(CASE WHEN stream = 'view' THEN v END) AS f, avg(CASE WHEN stream = 'click' THEN v END) AS r, avg(v) AS v FROM s GROUP BY run)", "SELECT run, round((f - v) / greatest(v, 1), 6) AS slip_front, round((r - v) / greatest(v, 1), 6) AS slip_rear, round((f - r) / greatest(v, 1), 6) AS slip_between, round(abs(f - r) / 9.81, 6) AS adhesion FROM a"))
@@ -218,8 +217,8 @@ def _(s, d):
     from sensorloom.operators import timeops
 
     p = front(s, d).select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))
-    dx, dy = F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W)
-    arc = p.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).select("run", "seq", "x", F.sum("step").over(so_far(W)).alias("arc"))
+    dx, dy = F.col("x") - F.lag("x").over(line()), F.col("y") - F.lag("y").over(line())
+    arc = p.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).select("run", "seq", "x", F.sum("step").over(so_far(line())).alias("arc"))
     grid = arc.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0)).alias("way"))
     out = timeops.interpolate(grid.withColumnRenamed("way", "arc"), arc, value="x", t="arc", out="x")
     return out.select("run", F.col("arc").alias("way"), *r6("x"))
@@ -228,8 +227,8 @@ def _(s, d):
 @register("g2_heading_profile", over("pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front), h AS (SELECT run, seq, t, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS yaw FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq))", "SELECT run, seq, round(yaw, 6) AS yaw, round(yaw - lag(yaw) OVER (PARTITION BY run ORDER BY t, seq), 6) AS turn FROM h"))
 def _(s, d):
     p = front(s, d).select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))
-    h = p.withColumn("yaw", F.atan2(F.lead("y").over(W) - F.col("y"), F.lead("x").over(W) - F.col("x")))
-    return h.select("run", "seq", F.round("yaw", 6).alias("yaw"), F.round(F.col("yaw") - F.lag("yaw").over(W), 6).alias("turn"))
+    h = p.withColumn("yaw", F.atan2(F.lead("y").over(line()) - F.col("y"), F.lead("x").over(line()) - F.col("x")))
+    return h.select("run", "seq", F.round("yaw", 6).alias("yaw"), F.round(F.col("yaw") - F.lag("yaw").over(line()), 6).alias("turn"))
 
 
 @register("g3_pose_lookup", over(_segments_sql() + ", tot AS (SELECT max(arc + n) AS len FROM g), q AS (SELECT run, seq, least(greatest(v / 100 - 0.1, 0), len) AS q_at FROM front, tot)", "SELECT run, seq, round(arg_max(gx + (q_at - arc) * ux, arc), 6) AS px, round(arg_max(gy + (q_at - arc) * uy, arc), 6) AS py FROM q JOIN g ON arc <= q_at GROUP BY run, seq"))

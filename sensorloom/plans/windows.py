@@ -10,7 +10,6 @@ from sensorloom.operators.windows import line, so_far
 from sensorloom.plans.joins import near
 from sensorloom.plans.registry import HOUR, fix, front, log, over, r6, rear, register
 
-W = line()
 OW = "WINDOW w AS (PARTITION BY run ORDER BY t, seq)"
 DAY = 24 * HOUR
 TOL_DAY = 2 * DAY
@@ -18,7 +17,7 @@ TOL_DAY = 2 * DAY
 
 @register("w1_step_differences", over(f"d AS (SELECT run, seq, t - lag(t) OVER w AS dt, v - lag(v) OVER w AS dv FROM front {OW})", "SELECT run, count(dt) AS steps, sum(CASE WHEN dv < 0 THEN 1 ELSE 0 END)::BIGINT AS back_steps, round(max(abs(dv)), 6) AS largest FROM d GROUP BY run"))
 def _(s, d):
-    x = front(s, d).select("run", (F.col("t") - F.lag("t").over(W)).alias("dt"), (F.col("v") - F.lag("v").over(W)).alias("dv"))
+    x = front(s, d).select("run", (F.col("t") - F.lag("t").over(line())).alias("dt"), (F.col("v") - F.lag("v").over(line())).alias("dv"))
     return x.groupBy("run").agg(F.count("dt").alias("steps"), F.count_if(F.col("dv") < 0).alias("back_steps"), F.round(F.max(F.abs("dv")), 6).alias("largest"))
 
 
@@ -26,8 +25,8 @@ ODO = f"st AS (SELECT run, seq, t, v, least(greatest((t - lag(t) OVER w) / 1e6,
 
 
 def _odometer(df):
-    stepped = df.withColumn("step", windows.odometer(F.col("t"), F.col("v"), W, 36000.0))
-    return stepped.withColumn("way", F.coalesce(F.sum("step").over(so_far(W)), F.lit(0.0)))
+    stepped = df.withColumn("step", windows.odometer(F.col("t"), F.col("v"), line(), 36000.0))
+    return stepped.withColumn("way", F.coalesce(F.sum("step").over(so_far(line())), F.lit(0.0)))
 
 
 @register("w2_trapezoid_odometer", over(ODO, "SELECT run, seq, round(way, 3) AS way FROM od"))
@@ -37,13 +36,13 @@ def _(s, d):
 
 @register("w3_running_maximum", over("", f"SELECT run, seq, max(v) OVER w AS top FROM front {OW}"))
 def _(s, d):
-    return front(s, d).select("run", "seq", F.max("v").over(so_far(W)).alias("top"))
+    return front(s, d).select("run", "seq", F.max("v").over(so_far(line())).alias("top"))
 
 
 @register("w4_label_forward_fill", over(f"l AS (SELECT run, seq, t, CASE WHEN v > 60 THEN 1 WHEN v < 15 THEN -1 END AS sign FROM front), f AS (SELECT run, seq, last_value(sign IGNORE NULLS) OVER w AS sign FROM l {OW})", "SELECT run, seq, coalesce(sign, 1) AS sign FROM f"))
 def _(s, d):
     sign = F.when(F.col("v") > 60, 1).when(F.col("v") < 15, -1)
-    return front(s, d).withColumn("x", sign).select("run", "seq", F.coalesce(F.last("x", ignorenulls=True).over(so_far(W)), F.lit(1)).alias("sign"))
+    return front(s, d).withColumn("x", sign).select("run", "seq", F.coalesce(F.last("x", ignorenulls=True).over(so_far(line())), F.lit(1)).alias("sign"))
 
 
 def _mean_sql(n: int, src: str) -> str:
@@ -55,7 +54,7 @@ def _mean_sql(n: int, src: str) -> str:
 
 @register("w5_edge_padded_moving_average", over(_mean_sql(11, "front"), "SELECT run, seq, round(smooth, 6) AS smooth FROM ma"))
 def _(s, d):
-    return front(s, d).select("run", "seq", F.round(windows.moving_average(F.col("v"), 11, W), 6).alias("smooth"))
+    return front(s, d).select("run", "seq", F.round(windows.moving_average(F.col("v"), 11, line()), 6).alias("smooth"))
 
 
 def _gradient_sql(src: str, x: str) -> str:
@@ -65,13 +64,13 @@ def _gradient_sql(src: str, x: str) -> str:
 
 @register("w6_uneven_gradient", over(_gradient_sql("front", "v"), "SELECT run, seq, round(g, 3) AS gradient FROM gr"))
 def _(s, d):
-    return front(s, d).select("run", "seq", F.round(windows.gradient(F.col("v"), F.col("t") / 1e9, W), 3).alias("gradient"))
+    return front(s, d).select("run", "seq", F.round(windows.gradient(F.col("v"), F.col("t") / 1e9, line()), 3).alias("gradient"))
 
 
 @register("w7_angle_unwrap", over(f"a AS (SELECT run, seq, t, v % 6.283185307179586 AS angle FROM front), c AS (SELECT *, -6.283185307179586 * round_even((angle - lag(angle) OVER w) / 6.283185307179586, 0) AS fix FROM a {OW})", "SELECT run, seq, round(angle + coalesce(sum(fix) OVER (PARTITION BY run ORDER BY t, seq), 0), 6) AS unwrapped FROM c"))
 def _(s, d):
-    a = front(s, d).withColumn("angle", F.col("v") % 6.283185307179586).withColumn("fix", windows.unwrap(F.col("angle"), W))
-    return a.select("run", "seq", F.round(F.col("angle") + F.coalesce(F.sum("fix").over(so_far(W)), F.lit(0.0)), 6).alias("unwrapped"))
+    a = front(s, d).withColumn("angle", F.col("v") % 6.283185307179586).withColumn("fix", windows.unwrap(F.col("angle"), line()))
+    return a.select("run", "seq", F.round(F.col("angle") + F.coalesce(F.sum("fix").over(so_far(line())), F.lit(0.0)), 6).alias("unwrapped"))
 
 
 def _shifted(name: str, by: int) -> str:
@@ -89,13 +88,13 @@ def _(s, d):
 
 @register("w9_running_median_mask", over("m AS (SELECT run, seq, v, quantile_cont(v, 0.5) OVER (PARTITION BY run ORDER BY t, seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS med FROM front)", "SELECT run, seq, round(med, 6) AS med, abs(v - med) > 60 AS glitch FROM m"))
 def _(s, d):
-    m = front(s, d).withColumn("med", windows.running_median(F.col("v"), 11, W))
+    m = front(s, d).withColumn("med", windows.running_median(F.col("v"), 11, line()))
     return m.select("run", "seq", F.round("med", 6).alias("med"), (F.abs(F.col("v") - F.col("med")) > 60).alias("glitch"))
 
 
 @register("w10_position_glitch", over(f"st AS (SELECT run, seq, t, v, v - lag(v) OVER w AS moved, (t - lag(t) OVER w) / {HOUR}.0 * 2.0 AS room FROM front {OW})", "SELECT run, seq, coalesce(abs(moved) > room + 40, FALSE) AS glitch FROM st"))
 def _(s, d):
-    moved, room = F.col("v") - F.lag("v").over(W), (F.col("t") - F.lag("t").over(W)) / HOUR * 2.0
+    moved, room = F.col("v") - F.lag("v").over(line()), (F.col("t") - F.lag("t").over(line())) / HOUR * 2.0
     return front(s, d).select("run", "seq", F.coalesce(F.abs(moved) > room + 40, F.lit(False)).alias("glitch"))
 
 
@@ -108,10 +107,10 @@ FROZEN = f"""st AS (SELECT run, seq, t, v, abs(v - lag(v) OVER w) AS step FROM f
 @register("w11_frozen_reference_mask", over(FROZEN, f"SELECT run, seq, hit OR (n < 3 AND coalesce(t - lt <= {TOL_DAY}, FALSE)) OR (n < 3 AND coalesce(nt - t <= {TOL_DAY}, FALSE)) AS frozen FROM lastly"))
 def _(s, d):
     around = Window.partitionBy("run").orderBy("t").rangeBetween(-DAY, DAY)
-    x = front(s, d).withColumn("step", F.abs(F.col("v") - F.lag("v").over(W)))
+    x = front(s, d).withColumn("step", F.abs(F.col("v") - F.lag("v").over(line())))
     x = x.withColumn("med", F.percentile("step", F.lit(0.5)).over(around)).withColumn("n", F.count("step").over(around))
     x = x.withColumn("hit", F.coalesce((F.col("v") < 20) & (F.col("n") >= 3) & (F.col("med") > 25), F.lit(False))).withColumn("at", F.when(F.col("hit"), F.col("t")))
-    back, ahead = F.max("at").over(so_far(W)), F.min("at").over(W.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back, ahead = F.max("at").over(so_far(line())), F.min("at").over(line().rowsBetween(Window.currentRow, Window.unboundedFollowing))
     close = (F.col("n") < 3) & (F.coalesce(F.col("t") - back <= TOL_DAY, F.lit(False)) | F.coalesce(ahead - F.col("t") <= TOL_DAY, F.lit(False)))
     return x.select("run", "seq", (F.col("hit") | close).alias("frozen"))
 
@@ -143,7 +142,7 @@ def _(s, d):
 
 @register("w16_hold_after_trigger", over("", f"SELECT run, seq, coalesce(t - max(CASE WHEN v > 120 THEN t END) OVER w < {2 * DAY}, FALSE) AS held FROM front {OW}"))
 def _(s, d):
-    return front(s, d).select("run", "seq", windows.held(F.col("v") > 120, F.col("t"), W, 2 * DAY).alias("held"))
+    return front(s, d).select("run", "seq", windows.held(F.col("v") > 120, F.col("t"), line(), 2 * DAY).alias("held"))
 
 
 ISLANDS = f"f AS (SELECT run, seq, t FROM s WHERE v > 40), g AS (SELECT run, t, seq, CASE WHEN t - lag(t) OVER w <= {DAY} THEN 0 ELSE 1 END AS new FROM f {OW}), h AS (SELECT run, t, sum(new) OVER w AS no FROM g {OW}), ep AS (SELECT run, min(t) AS start, max(t) AS stop, count(*) AS n FROM h GROUP BY run, no)"
@@ -196,7 +195,7 @@ def _(s, d):
 
 @register("w25_least_spacing", over(f"g AS (SELECT run, seq, t - lag(t) OVER w AS dt FROM s {OW})", f"SELECT run, seq FROM g WHERE dt IS NULL OR dt > {HOUR}"))
 def _(s, d):
-    return log(s, d).withColumn("dt", F.col("t") - F.lag("t").over(W)).filter(F.col("dt").isNull() | (F.col("dt") > HOUR)).select("run", "seq")
+    return log(s, d).withColumn("dt", F.col("t") - F.lag("t").over(line())).filter(F.col("dt").isNull() | (F.col("dt") > HOUR)).select("run", "seq")
 
 
 @register("w28_rolling_slope", over(f"r AS (SELECT run, seq, t, v, regr_slope(v, (t - 1704067200000000) / {HOUR}.0) OVER w AS slope, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY run ORDER BY t RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW))", "SELECT run, seq, CASE WHEN n >= 5 AND NOT isnan(slope) THEN round(slope, 5) END AS slope FROM r"))
@@ -208,18 +207,18 @@ def _(s, d):
 
 @register("w29_rolling_mean_null_edges", over("m AS (SELECT run, seq, avg(v) OVER w AS m, count(*) OVER w AS n FROM front WINDOW w AS (PARTITION BY run ORDER BY t, seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))", "SELECT run, seq, CASE WHEN n = 7 THEN round(m, 6) END AS mean FROM m"))
 def _(s, d):
-    f = W.rowsBetween(-3, 3)
+    f = line().rowsBetween(-3, 3)
     return front(s, d).select("run", "seq", F.when(F.count(F.lit(1)).over(f) == 7, F.round(F.avg("v").over(f), 6)).alias("mean"))
 
 
 @register("w31_onsets", over(f"l AS (SELECT run, seq, v, lag(v) OVER w AS pv FROM front {OW})", "SELECT run, seq FROM l WHERE v > 60 AND pv <= 60"))
 def _(s, d):
-    return front(s, d).withColumn("pv", F.lag("v").over(W)).filter("v > 60 and pv <= 60").select("run", "seq")
+    return front(s, d).withColumn("pv", F.lag("v").over(line())).filter("v > 60 and pv <= 60").select("run", "seq")
 
 
 @register("w32_rate_statistics", over(f"g AS (SELECT run, t, t - lag(t) OVER w AS dt FROM front {OW})", "SELECT run, round(median(dt) / 1e6, 3) AS median_dt, round((count(*) - 1) / ((max(t) - min(t)) / 1e9), 6) AS rate FROM g GROUP BY run HAVING count(*) > 1"))
 def _(s, d):
-    g = front(s, d).withColumn("dt", F.col("t") - F.lag("t").over(W))
+    g = front(s, d).withColumn("dt", F.col("t") - F.lag("t").over(line()))
     return g.groupBy("run").agg(F.round(F.median("dt") / 1e6, 3).alias("median_dt"), F.round((F.count(F.lit(1)) - 1) / ((F.max("t") - F.min("t")) / 1e9), 6).alias("rate"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
 
 
@@ -250,7 +249,7 @@ def _(s, d):
 @register("st15_on_change", over(f"l AS (SELECT run, seq, v > 60 AS flag, lag(v > 60) OVER w AS was FROM front {OW})", "SELECT run, seq, flag FROM l WHERE flag IS DISTINCT FROM was"))
 def _(s, d):
     x = front(s, d).withColumn("flag", F.col("v") > 60)
-    return x.withColumn("was", F.lag("flag").over(W)).filter(~F.col("flag").eqNullSafe(F.col("was"))).select("run", "seq", "flag")
+    return x.withColumn("was", F.lag("flag").over(line())).filter(~F.col("flag").eqNullSafe(F.col("was"))).select("run", "seq", "flag")
 
 
 @register("st19_limited_feed", over("f AS (SELECT run, seq, t - min(t) OVER (PARTITION BY run) AS since FROM fix)", f"SELECT run, seq FROM f WHERE since <= {DAY} OR (since - {DAY}) % {5 * DAY} <= {DAY}"))
@@ -268,8 +267,8 @@ def with_regime(df):
     """Regime of each row by the gradient of the smoothed value; standing still overrides."""
     from sensorloom.functions.scalars import regime
 
-    x = df.withColumn("smooth", windows.moving_average(F.col("v"), 11, W))
-    g = windows.gradient(F.col("smooth"), F.col("t") / 1e9, W)
+    x = df.withColumn("smooth", windows.moving_average(F.col("v"), 11, line()))
+    g = windows.gradient(F.col("smooth"), F.col("t") / 1e9, line())
     return x.withColumn("accel", g).withColumn("regime", regime(F.col("accel"), F.col("smooth"), still=30.0))
 
 

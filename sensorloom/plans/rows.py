@@ -212,18 +212,33 @@ def _(s, d):
 ARC = "pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front), ar AS (SELECT run, seq, t, x, y, sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0)) OVER (PARTITION BY run ORDER BY t, seq) AS arc FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq)))"
 
 
-@register("g1_arc_length_and_resampling", over(ARC + ", q AS (SELECT run, 50.0 * k AS arc FROM (SELECT DISTINCT run FROM ar) CROSS JOIN generate_series(0, 6) g(k)), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
-def _(s, d):
-    from sensorloom.operators import timeops
-
+def _arc(s, d):
     p = front(s, d).select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))
     dx, dy = F.col("x") - F.lag("x").over(line()), F.col("y") - F.lag("y").over(line())
-    arc = p.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).select("run", "seq", "x", F.sum("step").over(so_far(line())).alias("arc"))
-    grid = arc.select("run").distinct().select("run", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0)).alias("way"))
-    out = timeops.interpolate(grid.withColumnRenamed("way", "arc"), arc, value="x", t="arc", out="x")
+    return p.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).select("run", "seq", "x", F.sum("step").over(so_far(line())).alias("arc"))
+
+
+def _resampled(arc, ways):
+    """``x`` at the ways of each run, an aggregate over its rows."""
+    from sensorloom.operators import timeops
+
+    grid = arc.groupBy("run").agg(ways.alias("ways")).select("run", F.explode("ways").alias("arc"))
+    out = timeops.interpolate(grid, arc, value="x", t="arc", out="x")
     return out.select("run", F.col("arc").alias("way"), *r6("x"))
 
 
+@register("g1_arc_length_and_resampling", over(ARC + ", q AS (SELECT run, 50.0 * k AS arc FROM (SELECT DISTINCT run FROM ar) CROSS JOIN generate_series(0, 6) g(k)), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
+def _(s, d):
+    return _resampled(_arc(s, d), F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0))
+
+
+@register("g1_arc_length_whole_run", over(ARC + ", tot AS (SELECT run, max(arc) AS len FROM ar GROUP BY run), q AS (SELECT run, 50.0::DOUBLE * unnest(range(0, floor(len / 50)::BIGINT + 1)) AS arc FROM tot UNION SELECT run, len FROM tot), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
+def _(s, d):
+    total = F.max("arc")
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(total / 50)), lambda k: k * 50.0)
+    return _resampled(_arc(s, d), F.array_union(steps, F.array(total)))  # up to each run's own end
+
+
 @register("g2_heading_profile", over("pt AS (SELECT run, seq, t, v AS x, v % 37 AS y FROM front), h AS (SELECT run, seq, t, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS yaw FROM pt WINDOW w AS (PARTITION BY run ORDER BY t, seq))", "SELECT run, seq, round(yaw, 6) AS yaw, round(yaw - lag(yaw) OVER (PARTITION BY run ORDER BY t, seq), 6) AS turn FROM h"))
 def _(s, d):
     p = front(s, d).select("run", "seq", "t", F.col("v").alias("x"), (F.col("v") % 37).alias("y"))

@@ -20,6 +20,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), links=True)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -71,7 +75,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_token_counts, op4_sharding, op5_mixing, op6_language_id, op7_media, op8_toxicity, op9_decontamination, op10_licenses)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_token_counts, op4_sharding, op5_mixing, op6_language_id, op7_media, op8_toxicity, op9_decontamination, op10_licenses, op1_ngram_links)}
 
 
 def oracle_sql() -> dict[str, str]:

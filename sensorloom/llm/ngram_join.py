@@ -14,6 +14,9 @@ subsets stops being cheaper than the lists.
    comparison.  The number of pivots doubles until every list is one component or all its pairs
    across components have been compared.  So no group is expanded into all of its pairs because
    its members are alike.
+4. Any link lies within a component, so links are counted there: a component is dealt into blocks,
+   and a matrix product of two blocks has all their overlaps.  Rows grow with the number of blocks;
+   only ``jaccard_links`` has a row for each pair.
 
 Edge cases: sets without words are empty and linked with nothing; a row whose id is null gets its
 size and a null component and links nothing; rows of one id and different texts are separate
@@ -40,6 +43,8 @@ from sensorloom.llm.components import components
 _U = np.uint64
 #: The join's threshold as a fraction: intersection / union >= _T / _OF.
 _T, _OF = 4, 5
+#: Sets and elements of a block of a component, and columns of its matrix at a time.
+_BLOCK_SETS, _BLOCK_ELEMENTS, _COLUMNS = 1024, 1_000_000, 2048
 _SCAN = "kind int, bucket int, chunk long, keys binary, payload binary, ids array<long>, s1 array<long>, s2 array<long>, sizes array<int>, alias array<int>, known array<int>"
 
 
@@ -294,11 +299,58 @@ def _link(sets: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return labels if labels is not None else members.select(F.col("sid").alias("node"), "label").limit(0)
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``.
+def _tally(k: int, pairs: bool):
+    """All links between two blocks of a component: their pairs, or the members that each set links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid = table["sid"].to_numpy()
+        members = table["members"].to_numpy().astype(np.float64)
+        block = table["block"].to_numpy()
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        sets = [_load(z, size, k) for z, size in zip(table["z"].to_pylist(), table["size"].to_pylist(), strict=True)]
+        sizes = np.array([len(s) for s in sets], dtype=np.float64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1  # elements of one set alone take no column
+        repeats_here = times[column] > 1
+        owner, column = owner[repeats_here], number[column[repeats_here]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        common = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+            a, b = np.searchsorted(column, (start, start + _COLUMNS))
+            has = np.zeros((len(sets), min(_COLUMNS, int(column[-1]) + 1 - start)), np.float32)
+            has[owner[a:b], column[a:b] - start] = 1
+            common += has[left] @ has[right].T
+        linked = (common > 0) & (_OF * common >= _T * (sizes[left][:, None] + sizes[right][None, :] - common))
+        if lo == hi:
+            np.fill_diagonal(linked, False)
+        if pairs:
+            x, y = np.nonzero(np.triu(linked) if lo == hi else linked)
+            return pa.table({"a": pa.array(sid[left[x]], pa.int64()), "b": pa.array(sid[right[y]], pa.int64())})
+        found = [(sid[left], linked @ members[right])] + ([(sid[right], linked.T @ members[left])] if lo != hi else [])
+        return pa.table({"sid": pa.array(np.concatenate([f[0] for f in found]), pa.int64()), "links": pa.array(np.concatenate([f[1] for f in found]).astype(np.int64), pa.int64())})
 
-    ``id_col`` must hold whole numbers.  ``class_id`` is the smallest id with an equal set.
+    return run
+
+
+def _within(sets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Sets of each component, in pairs of blocks: any two sets of it stand together in one pair.
+
+    Blocks are bounded by sets and elements, so a large component is many groups, none of them large.
     """
+    members = classes.select(F.col("s1").alias("sid"), "members")
+    linked = materialise(sets.join(labels.withColumnRenamed("node", "sid"), "sid").join(members, "sid"), "join-linked")
+    parts = linked.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _BLOCK_SETS, F.sum(F.col("n").cast("long")) / _BLOCK_ELEMENTS)).alias("parts"))
+    parts = materialise(parts, "join-parts")
+    side = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    placed = linked.join(side, "label").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    return placed.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "members", "z", "size")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, classes of equal sets, the sets of those that may be linked, and the labels of those that are."""
     source = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
     total = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     scan = materialise(source.mapInArrow(_scan(shingle, repeats.buckets_for(total)), _SCAN), "join-scan")
@@ -308,21 +360,49 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = materialise(told, "join-rows")
 
     with_id = rows.filter("n > 0 and doc_id is not null")
-    classes = materialise(with_id.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.max("shared").alias("shared")), "join-classes")
+    classes = materialise(with_id.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("members")), "join-classes")
     c = F.ceil(F.col("n") * _T / _OF)
     maybe = materialise(classes.filter(F.col("shared") >= F.greatest(F.lit(1), F.ceil(c / 10))).select("class_id", "s1", "s2"), "join-maybe")
     side = F.broadcast(maybe) if maybe.count() <= BROADCAST_ROWS else maybe
     sets = materialise(source.join(side, F.col("i") == F.col("class_id")).select("s1", "s2", "t").mapInArrow(_sets(shingle), "sid long, n int, z binary, size long").dropDuplicates(["sid"]), "join-sets")
 
-    labels = _link(sets, _lists(sets, shingle), shingle)
+    return rows, classes, sets, _link(sets, _lists(sets, shingle), shingle)
+
+
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``a, b``: every pair of linked classes, as their ``class_id``, the smaller one first.
+
+    As many rows as there are links, which is the square of a group's size; ``n_links`` of
+    ``jaccard_components`` counts the same links without a row for each.
+    """
+    _, classes, sets, labels = _classes(docs, id_col, text_col, shingle)
+    found = _within(sets, labels, classes).groupBy("label", "lo", "hi").applyInArrow(_tally(shingle, True), "a long, b long")
+    name = lambda c: classes.select(F.col("s1").alias(c), F.col("class_id").alias(f"{c}_id"))
+    named = found.join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``.
+
+    ``id_col`` must hold whole numbers.  ``class_id`` is the smallest id with an equal set.
+    With ``links`` also ``n_links``: the other rows whose set is similar or equal.
+    """
+    rows, classes, sets, labels = _classes(docs, id_col, text_col, shingle)
     linked = labels.join(classes, F.col("node") == F.col("s1")).select("s1", "s2", "label", "class_id")
     least = linked.groupBy("label").agg(F.min("class_id").alias("component"))
     part = linked.join(least, "label").select("s1", "s2", "component")
-    whole = classes.join(part, ["s1", "s2"], "left").select("s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component"))
+    whole = classes.join(part, ["s1", "s2"], "left").select("s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component"), "members")
+    count = []
+    if links:
+        tallied = _within(sets, labels, classes).groupBy("label", "lo", "hi").applyInArrow(_tally(shingle, False), "sid long, links long")
+        tallied = tallied.groupBy(F.col("sid").alias("s1")).agg(F.sum("links").alias("links"))
+        whole = whole.join(tallied, "s1", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("members") - 1)
+        count = [F.when((F.col("r.n") > 0) & F.col("r.doc_id").isNotNull(), F.col("w.n_links")).otherwise(0).cast("long").alias("n_links")]
     filled = (F.col("r.n") > 0) & F.col("r.doc_id").isNotNull()
     out = rows.alias("r").join(whole.alias("w"), (F.col("r.s1") == F.col("w.s1")) & (F.col("r.s2") == F.col("w.s2")), "left")
     return out.select(
         F.col("r.doc_id").alias(id_col), F.col("r.n").cast("long").alias("n_shingles"),
         F.when(filled, F.col("w.component")).otherwise(F.col("r.doc_id")).alias("component_id"),
-        F.when(filled, F.col("w.class_id")).otherwise(F.col("r.doc_id")).alias("class_id"),
+        F.when(filled, F.col("w.class_id")).otherwise(F.col("r.doc_id")).alias("class_id"), *count,
     )

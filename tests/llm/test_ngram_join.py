@@ -1,7 +1,8 @@
 import numpy as np
 
-from sensorloom.llm import ngram_join, repeats
+from sensorloom.llm import catalog, ngram_join, repeats
 from sensorloom.llm.components import components
+from tests.compare import connection, difference
 from tests.llm.data import documents, empty, folded, texts
 
 
@@ -89,3 +90,35 @@ def test_connected_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 103), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+def linked_pairs(rows):
+    sets = []
+    for i, t, *_ in rows:
+        w = folded(t)
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    alike = lambda x, y: bool(x & y) and 5 * len(x & y) >= 4 * len(x | y)
+    known = [(i, s) for i, s in sets if i is not None and s]
+    counts = [0 if i is None or not s else sum(alike(s, y) for _, y in known) - 1 for i, s in sets]
+    least = {}
+    for i, s in known:
+        least[s] = min(i, least.get(s, i))
+    classes = sorted((i, s) for s, i in least.items())
+    pairs = sorted((i, j) for n, (i, x) in enumerate(classes) for j, y in classes[n + 1 :] if alike(x, y))
+    return sorted(((i, n) for (i, _), n in zip(sets, counts, strict=True)), key=str), pairs
+
+
+def test_every_link_is_counted_and_paired(spark, monkeypatch):
+    rows = texts()
+    rows += [(900 + k, " ".join(f"v{j}" if j != 7 * k else f"own{k}" for j in range(120)), "en", "a") for k in range(9)]  # links beside the pivot's
+    counts, pairs = linked_pairs(rows)
+    assert sum(a >= 900 for a, _ in pairs) > 8  # more than a star around one pivot
+    for block in (1024, 3):  # whole components, and components of many blocks
+        monkeypatch.setattr(ngram_join, "_BLOCK_SETS", block)
+        out = ngram_join.jaccard_components(documents(spark, rows), links=True).collect()
+        assert sorted(((r.doc_id, r.n_links) for r in out), key=str) == counts
+        assert sorted((r.a, r.b) for r in ngram_join.jaccard_links(documents(spark, rows)).collect()) == pairs
+
+
+def test_counted_links_equal_sql(spark):
+    assert difference(spark, connection(), catalog.op1_ngram_links, catalog.oracle_sql()["op1_ngram_links"]) == ""

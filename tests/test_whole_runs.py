@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom import plans
-from sensorloom.plans.registry import front
+from sensorloom.plans.registry import front, log
+from sensorloom.sources import logs
 from tests.compare import SF
 
 
@@ -19,3 +20,15 @@ def test_resampling_reaches_each_runs_end(spark):
         assert got[run].end == pytest.approx(total) and got[run].x == pytest.approx(v[-1], abs=1e-5)
         assert got[run].n == total // 50 + 1 + (total % 50 > 0)
     assert max(r.end for r in got.values()) > 300
+
+
+def test_cache_holds_and_returns_every_run(spark, monkeypatch):
+    written = []
+    write = logs.write_cache
+    monkeypatch.setattr(logs, "write_cache", lambda samples, path: (written.append(path), write(samples, path)))
+    got = plans.queries()["s6_cache_read_all_runs"](spark, SF).collect()
+    plans.queries()["s6_cache_read"](spark, SF).collect()
+    assert len(written) == 2
+    whole = log(spark, SF).groupBy("run", "stream").count().collect()
+    assert sorted((r.run, r.stream, r.n) for r in got) == sorted((r["run"], r["stream"], r["count"]) for r in whole)
+    assert len({r.run for r in got}) > 1

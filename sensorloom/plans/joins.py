@@ -214,15 +214,32 @@ INVERSE = """
     hi AS (SELECT q.run, q.way, o.t AS t1, o.way AS w1 FROM q ASOF LEFT JOIN od o ON q.run = o.run AND q.way < o.way)"""
 
 
-@register("j25_inverse_interpolation", over(INVERSE, "SELECT run, way, floor(CASE WHEN t0 IS NULL THEN t1 WHEN t1 IS NULL THEN t0 ELSE t0 + (t1 - t0) * (way - w0) / (w1 - w0) END / 1000000)::BIGINT AS reached_s FROM lo JOIN hi USING (run, way)"))
-def _(s, d):
+def _odometer(s, d):
     w = Window.partitionBy("run").orderBy("t", "seq")
-    od = rear(s, d).select("run", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("way"), F.col("t").alias("at"))
-    q = od.select("run").distinct().select("run", F.explode(F.array(*[F.lit(100.0 * k) for k in range(1, 6)])).alias("way"))
+    return rear(s, d).select("run", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("way"), F.col("t").alias("at"))
+
+
+def _reached(od, ways):
+    """When each run's ways, an aggregate over its rows, are reached."""
+    q = od.groupBy("run").agg(ways.alias("ways")).select("run", F.explode("ways").alias("way"))
     found = timeops.interpolate(q, od, value="at", t="way")
     return found.select("run", "way", F.floor(F.col("interp") / 1e6).cast("long").alias("reached_s"))
 
 
+@register("j25_inverse_interpolation", over(INVERSE, "SELECT run, way, floor(CASE WHEN t0 IS NULL THEN t1 WHEN t1 IS NULL THEN t0 ELSE t0 + (t1 - t0) * (way - w0) / (w1 - w0) END / 1000000)::BIGINT AS reached_s FROM lo JOIN hi USING (run, way)"))
+def _(s, d):
+    return _reached(_odometer(s, d), F.array(*[F.lit(100.0 * k) for k in range(1, 6)]))
+
+
+INVERSE_WHOLE = INVERSE.replace("SELECT run, 100.0 * k AS way FROM (SELECT DISTINCT run FROM rear) CROSS JOIN generate_series(1, 5) g(k)", "SELECT run, 100.0::DOUBLE * unnest(range(1, floor(max(way) / 100)::BIGINT + 1)) AS way FROM od GROUP BY run")
+
+
+@register("j25_inverse_whole_run", over(INVERSE_WHOLE, "SELECT run, way, floor(CASE WHEN t0 IS NULL THEN t1 WHEN t1 IS NULL THEN t0 ELSE t0 + (t1 - t0) * (way - w0) / (w1 - w0) END / 1000000)::BIGINT AS reached_s FROM lo JOIN hi USING (run, way)"))
+def _(s, d):
+    steps = F.sequence(F.lit(0).cast("long"), F.floor(F.max("way") / 100))
+    return _reached(_odometer(s, d), F.filter(F.transform(steps, lambda k: k * 100.0), lambda way: way > 0))
+
+
 @register("o1_stable_order", over("", "SELECT run, seq, row_number() OVER (PARTITION BY run ORDER BY t // 86400000000, seq) AS place FROM s"))
 def _(s, d):
     w = Window.partitionBy("run").orderBy(F.floor(F.col("t") / F.lit(86_400_000_000)), "seq")

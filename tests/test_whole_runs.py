@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom import plans
-from sensorloom.plans.registry import front, log
+from sensorloom.plans.registry import front, log, rear
 from sensorloom.sources import logs
 from tests.compare import SF
 
@@ -32,3 +32,10 @@ def test_cache_holds_and_returns_every_run(spark, monkeypatch):
     whole = log(spark, SF).groupBy("run", "stream").count().collect()
     assert sorted((r.run, r.stream, r.n) for r in got) == sorted((r["run"], r["stream"], r["count"]) for r in whole)
     assert len({r.run for r in got}) > 1
+
+
+def test_ways_are_looked_up_to_each_runs_last(spark):
+    got = {r.run: r.n for r in plans.queries()["j25_inverse_whole_run"](spark, SF).groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r.run: r.total for r in rear(spark, SF).groupBy("run").agg(F.sum("v").alias("total")).collect()}
+    assert got == {run: int(total // 100) for run, total in totals.items() if total >= 100}
+    assert max(got.values()) > 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.windows import line, so_far
+from sensorloom.operators.windows import backward, line, so_far
 
 
 def islands(df: DataFrame, *, gap: int, key: str = "run", t: str = "t") -> DataFrame:
@@ -42,8 +42,7 @@ def sessions(df: DataFrame, *, gap: int, most: int, key: str = "run", t: str = "
 
 def recovery(df: DataFrame, bad: Column, *, hold: int, key: str = "run", t: str = "t") -> DataFrame:
     """First good stamp with no bad row until more than ``hold`` later; null if there is none."""
-    w = line(key, t)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = so_far(backward(key, t))
     marked = df.withColumn("__bad", F.coalesce(bad, F.lit(True)))
     next_bad = F.min(F.when(F.col("__bad"), F.col(t))).over(ahead)
     end = F.max(t).over(ahead)

@@ -40,9 +40,12 @@ def neighbours(left: DataFrame, right: DataFrame, *, key: str = "run", t: str =
         b = b.withColumn("__b", F.explode(F.sequence(at(F.col("__t") - within), at(F.col("__t") + within))))
         keys = ["__k", "__b"]
     both = a.unionByName(b, allowMissingColumns=True)
-    line = Window.partitionBy(*keys).orderBy("__t", "__side", "__o")
-    before = F.last("__hit", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__hit", ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # What comes after is what came before in the opposite order: both frames grow by a row a row,
+    # while one that reaches ahead to the end is added up anew for every row.
+    here = Window.partitionBy(*keys)
+    newest = lambda w: F.last("__hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = newest(here.orderBy("__t", "__side", "__o"))
+    after = newest(here.orderBy(F.desc("__t"), F.desc("__side"), F.desc("__o")))
     found = both.select("__side", "__row", before.alias("prev"), after.alias("next")).filter("__side = 1")
     out = found.select(*[F.col(f"__row.{c}").alias(c) for c in lcols], "prev", "next")
     if within is not None:
@@ -135,26 +138,27 @@ def exact_match(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 def synchronise(df: DataFrame, *, first: str, second: str, slop: int, depth: int = 100) -> DataFrame:
     """Approximate-time pairs of two streams of each run, in arrival order.
 
-    Every arrival takes the waiting message of the other stream with the closest stamp, if it is
-    nearer than ``slop``; both are used up.  The outcome depends on order, so a run is one group.
+    A message waits under its stamp; a later one of equal stamp and stream takes its place, and a
+    stream over ``depth`` loses its least stamp before anything is matched.  Then the arrival takes the
+    waiting message of the other stream with the closest stamp, of equally close ones the first
+    arrived, if it is nearer than ``slop``; both are used up.  The outcome depends on order, so a
+    run is one group.
     """
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        waiting: dict[str, list[tuple[int, int]]] = {first: [], second: []}
+        waiting: dict[str, dict[int, int]] = {first: {}, second: {}}  # in order of arrival: stamp to seq
         out = []
         for stream, t, seq in pdf.sort_values("seq")[["stream", "t", "seq"]].itertuples(index=False):
-            other = waiting[second if stream == first else first]
-            best = min(other, key=lambda m: (abs(m[0] - t), m[0]), default=None)
-            if best is not None and abs(best[0] - t) < slop:
-                other.remove(best)
-                a, b = ((t, seq), best) if stream == first else (best, (t, seq))
+            mine, theirs = waiting[stream], waiting[second if stream == first else first]
+            mine[t] = seq  # an equal stamp keeps its place in the order
+            if len(mine) > depth:
+                del mine[min(mine)]
+            best = min(theirs, key=lambda x: abs(x - t), default=None)
+            if t in mine and best is not None and abs(best - t) < slop:
+                hit = (t, mine.pop(t)), (best, theirs.pop(best))
+                a, b = hit if stream == first else hit[::-1]
                 out.append((pdf["run"].iloc[0], a[0], b[0], a[1], b[1]))
-            else:
-                waiting[stream].append((t, seq))
-                del waiting[stream][:-depth]
         return pd.DataFrame(out, columns=["run", "t_first", "t_second", "seq_first", "seq_second"])
 
     two = df.filter(F.col("stream").isin(first, second)).select("run", "stream", "t", "seq")
     return two.groupBy("run").applyInPandas(pair, "run long, t_first long, t_second long, seq_first long, seq_second long")
-
-

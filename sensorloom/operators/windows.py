@@ -10,6 +10,11 @@ def line(key: str = "run", t: str = "t", seq: str = "seq") -> WindowSpec:
     return Window.partitionBy(key).orderBy(t, seq)
 
 
+def backward(key: str = "run", t: str = "t", seq: str = "seq") -> WindowSpec:
+    """``line`` from the end: its ``so_far`` covers a row and all after it, at a row's cost a row."""
+    return Window.partitionBy(key).orderBy(F.desc(t), F.desc(seq))
+
+
 def so_far(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import cos, sin
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -119,50 +121,78 @@ def _points(s, d):
     return read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
-@register("j15_nearest_point", f"WITH {POINTS}, n AS (SELECT a.id, b.id AS point, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS dist FROM p a, p b WHERE b.label = 0 AND a.label <> 0) SELECT id AS row, arg_min(point, (dist, point)) AS point, round(min(dist), 6) AS dist FROM n WHERE dist <= 0.05 GROUP BY id")
+@register("j15_nearest_point", f"WITH {POINTS}, n AS (SELECT a.id, b.id AS point, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS dist FROM p a, p b WHERE b.label = 0 AND a.label <> 0) SELECT id AS row, arg_min(point, (dist, point)) AS point, round(min(dist), 6) AS dist FROM n GROUP BY id")
 def _(s, d):
     p = _points(s, d)  # those of label 0 are the map
-    return geometry.nearest_point(p.filter("label <> 0").withColumnRenamed("id", "row"), p.filter("label = 0").withColumnRenamed("id", "point"), radius=0.05).select("row", "point", *r6("dist"))
+    return geometry.nearest_point(p.filter("label <> 0").withColumnRenamed("id", "row"), p.filter("label = 0").withColumnRenamed("id", "point"), cell=0.05).select("row", "point", *r6("dist"))
 
 
 LINE = [(-0.4, -0.3), (-0.1, -0.05), (0.05, 0.0), (0.2, 0.25), (0.5, 0.3)]
 
 
-def _segments_sql() -> str:
-    rows = ", ".join(f"({i}, {x!r}, {y!r}, {ux!r}, {uy!r}, {n!r}, {arc!r})" for i, x, y, ux, uy, n, arc in geometry.segments_of(LINE))
+#: A line that crosses the prolongation of its own end: points near there belong to its last segment.
+HOOK = [(-0.2, 0.0), (0.2, 0.0), (0.2, 0.3), (-0.35, 0.3), (-0.35, -0.4)]
+
+#: A line of more segments than an array constant holds: it is searched by blocks.
+SPIRAL = [(round(0.002 * k * cos(k / 20), 6), round(0.002 * k * sin(k / 20), 6)) for k in range(301)]
+
+
+def _segments_sql(points=LINE) -> str:
+    rows = ", ".join(f"({i}, {x!r}, {y!r}, {ux!r}, {uy!r}, {n!r}, {arc!r})" for i, x, y, ux, uy, n, arc in geometry.segments_of(points))
     return f"g(i, gx, gy, ux, uy, n, arc) AS (VALUES {rows})"
 
 
-def _feet_sql(beyond: bool, where: str = "TRUE") -> str:
-    last = len(LINE) - 2
-    low = "CASE WHEN i = 0 THEN '-Infinity'::DOUBLE ELSE 0.0 END" if beyond else "0.0"
-    high = f"CASE WHEN i = {last} THEN 'Infinity'::DOUBLE ELSE n END" if beyond else "n"
-    return f"""{POINTS}, {_segments_sql()},
-    u AS (SELECT id, x, y, g.*, least(greatest((x - gx) * ux + (y - gy) * uy, {low}), {high}) AS u FROM p, g WHERE {where}),
-    f AS (SELECT id, i, arc + u AS s, round(sqrt((x - gx - u * ux) * (x - gx - u * ux) + (y - gy - u * uy) * (y - gy - u * uy)), 9) AS dist, (y - gy) * ux - (x - gx) * uy AS side FROM u)"""
+def _feet_sql(where: str = "TRUE", points=LINE) -> str:
+    """Each point with each segment: way along the segment's line, distance to the segment, side."""
+    return f"""{POINTS}, {_segments_sql(points)},
+    al AS (SELECT id, x, y, g.*, (x - gx) * ux + (y - gy) * uy AS w FROM p, g WHERE {where}),
+    u AS (SELECT *, CASE WHEN w < 0 THEN 0.0 WHEN w > n THEN n ELSE w END AS u FROM al),
+    f AS (SELECT id, x, y, i, n, w, arc, arc + u AS s, round(sqrt((x - gx - u * ux) ** 2 + (y - gy - u * uy) ** 2), 9) AS dist, (y - gy) * ux - (x - gx) * uy AS side FROM u)"""
 
 
 FOOT = "SELECT id, arg_min(i, (dist, i)) AS segment, round(arg_min(s, (dist, i)), 6) AS s, round(min(dist), 6) AS dist, round(arg_min(side, (dist, i)), 6) AS side FROM f GROUP BY id"
 
 
-def _feet(df):
-    return df.select("id", F.col("foot.i").alias("segment"), F.round("foot.s", 6).alias("s"), F.round("foot.dist", 6).alias("dist"), F.round("foot.lateral", 6).alias("side"))
+def _open_ends_sql(points) -> str:
+    """The nearest segment is chosen first, by row number; only its foot may then leave the line."""
+    last = len(points) - 2
+    return f"""WITH {_feet_sql(points=points)}, b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, i) = 1),
+    o AS (SELECT *, (i = 0 AND w < 0) OR (i = {last} AND w > n) AS off FROM b)
+    SELECT id, i AS segment, round(CASE WHEN off THEN arc + w ELSE s END, 6) AS s, round(CASE WHEN off THEN abs(side) ELSE dist END, 6) AS dist, round(side, 6) AS side, off AS beyond FROM o"""
+
 
+def _feet(df, *more):
+    return df.select("id", F.col("foot.i").alias("segment"), F.round("foot.s", 6).alias("s"), F.round("foot.dist", 6).alias("dist"), F.round("foot.lateral", 6).alias("side"), *more)
 
-@register("j16_polyline_projection", f"WITH {_feet_sql(True)} {FOOT}")
+
+def _open_feet(df):
+    return _feet(df, "beyond")
+
+
+@register("j16_polyline_projection", _open_ends_sql(LINE))
 def _(s, d):
-    return _feet(geometry.project(_points(s, d), LINE))
+    return _open_feet(geometry.project(_points(s, d), LINE))
+
+
+@register("j16_self_crossing_line", _open_ends_sql(HOOK))
+def _(s, d):
+    return _open_feet(geometry.project(_points(s, d), HOOK))
+
+
+@register("j16_long_line", _open_ends_sql(SPIRAL))
+def _(s, d):
+    return _open_feet(geometry.project(_points(s, d), SPIRAL))
 
 
 VERTICES = "w(k, wx, wy) AS (VALUES " + ", ".join(f"({k}, {x!r}, {y!r})" for k, (x, y) in enumerate(LINE)) + ")"
 
 
-@register("j17_projection_at_nearest_vertex", f"WITH {_feet_sql(False)}, {VERTICES}, nv AS (SELECT id, arg_min(k, (round((x - wx) * (x - wx) + (y - wy) * (y - wy), 9), k)) AS k FROM p, w GROUP BY id) SELECT id, arg_min(i, (dist, i)) AS segment, round(arg_min(s, (dist, i)), 6) AS s, round(min(dist), 6) AS dist, round(arg_min(side, (dist, i)), 6) AS side FROM f JOIN nv USING (id) WHERE i = k OR i = k - 1 GROUP BY id")
+@register("j17_projection_at_nearest_vertex", f"WITH {_feet_sql()}, {VERTICES}, nv AS (SELECT id, arg_min(k, (round((x - wx) * (x - wx) + (y - wy) * (y - wy), 9), k)) AS k FROM p, w GROUP BY id) SELECT id, arg_min(i, (dist, i)) AS segment, round(arg_min(s, (dist, i)), 6) AS s, round(min(dist), 6) AS dist, round(arg_min(side, (dist, i)), 6) AS side FROM f JOIN nv USING (id) WHERE i = k OR i = k - 1 GROUP BY id")
 def _(s, d):
     return _feet(geometry.project_by_vertex(_points(s, d), LINE))
 
 
-@register("j18_windowed_projection", f"WITH {_feet_sql(False, 'arc <= 0.3 + x AND arc + n >= 0.1 + x')} {FOOT}")
+@register("j18_windowed_projection", f"WITH {_feet_sql('arc <= 0.3 + x AND arc + n >= 0.1 + x')} {FOOT}")
 def _(s, d):
     return _feet(geometry.project(_points(s, d), LINE, beyond=False, lo=0.1 + F.col("x"), hi=0.3 + F.col("x"))).filter("segment is not null")
 
@@ -209,7 +239,7 @@ def _(s, d):
 
 INVERSE = """
     od AS (SELECT run, seq, t, sum(v) OVER (PARTITION BY run ORDER BY t, seq) AS way FROM rear),
-    q AS (SELECT run, 100.0 * k AS way FROM (SELECT DISTINCT run FROM rear) CROSS JOIN generate_series(1, 5) g(k)),
+    q AS (SELECT run, 100.0::DOUBLE * unnest(range(1, floor(max(way) / 100)::BIGINT + 1)) AS way FROM od GROUP BY run),
     lo AS (SELECT q.run, q.way, o.t AS t0, o.way AS w0 FROM q ASOF LEFT JOIN od o ON q.run = o.run AND q.way >= o.way),
     hi AS (SELECT q.run, q.way, o.t AS t1, o.way AS w1 FROM q ASOF LEFT JOIN od o ON q.run = o.run AND q.way < o.way)"""
 
@@ -227,14 +257,6 @@ def _reached(od, ways):
 
 
 @register("j25_inverse_interpolation", over(INVERSE, "SELECT run, way, floor(CASE WHEN t0 IS NULL THEN t1 WHEN t1 IS NULL THEN t0 ELSE t0 + (t1 - t0) * (way - w0) / (w1 - w0) END / 1000000)::BIGINT AS reached_s FROM lo JOIN hi USING (run, way)"))
-def _(s, d):
-    return _reached(_odometer(s, d), F.array(*[F.lit(100.0 * k) for k in range(1, 6)]))
-
-
-INVERSE_WHOLE = INVERSE.replace("SELECT run, 100.0 * k AS way FROM (SELECT DISTINCT run FROM rear) CROSS JOIN generate_series(1, 5) g(k)", "SELECT run, 100.0::DOUBLE * unnest(range(1, floor(max(way) / 100)::BIGINT + 1)) AS way FROM od GROUP BY run")
-
-
-@register("j25_inverse_whole_run", over(INVERSE_WHOLE, "SELECT run, way, floor(CASE WHEN t0 IS NULL THEN t1 WHEN t1 IS NULL THEN t0 ELSE t0 + (t1 - t0) * (way - w0) / (w1 - w0) END / 1000000)::BIGINT AS reached_s FROM lo JOIN hi USING (run, way)"))
 def _(s, d):
     steps = F.sequence(F.lit(0).cast("long"), F.floor(F.max("way") / 100))
     return _reached(_odometer(s, d), F.filter(F.transform(steps, lambda k: k * 100.0), lambda way: way > 0))

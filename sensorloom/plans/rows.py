@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from math import cos, radians, sin, sqrt
 
 from pyspark.sql import Window
@@ -16,6 +14,7 @@ from sensorloom.plans.joins import LINE, _segments_sql
 from sensorloom.plans.registry import HOUR, cmd, front, log, over, r6, rear, register
 from sensorloom.sources import logs
 from sensorloom.sources.catalog import resolve, select_runs
+from sensorloom.storage import scratch_path
 
 DAY = 24 * HOUR
 
@@ -25,28 +24,13 @@ def _(s, d):
     return log(s, d).filter(F.col("stream").isin("view", "click")).select("run", "seq", "t", "v")
 
 
-def _cache(s, d):
-    """The whole log as a columnar cache in the shared scratch folder, gone when the session ends."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorloom-")
-    path = f"{base}/sensorloom-cache-{uuid.uuid4().hex}"
-    logs.write_cache(log(s, d), path)
-    hpath = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
-
-
-def _by_stream(samples):
-    return samples.groupBy(F.col("run").cast("long").alias("run"), "stream").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"))
-
-
-@register("s6_cache_read", over("", "SELECT run, stream, count(*) AS n, round(sum(v), 4) AS total FROM s WHERE run = 7 GROUP BY ALL"))
-def _(s, d):
-    return _by_stream(logs.read_cache(s, _cache(s, d), ("7",)))
-
-
-@register("s6_cache_read_all_runs", over("", "SELECT run, stream, count(*) AS n, round(sum(v), 4) AS total FROM s GROUP BY ALL"))
+@register("s6_cache_read", over("", "SELECT run, stream, count(*) AS n, round(sum(v), 4) AS total FROM s GROUP BY ALL"))
 def _(s, d):
-    return _by_stream(logs.read_cache(s, _cache(s, d)))
+    """The whole log through a columnar cache in the shared folder."""
+    path = scratch_path(s, "cache")
+    logs.write_cache(log(s, d), path)
+    samples = logs.read_cache(s, path)
+    return samples.groupBy("run", "stream").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
 @register("s7_catalog_resolution", over("n AS (SELECT DISTINCT 'car_' || lpad(run::VARCHAR, 6, '0') AS name FROM s)", "SELECT name FROM n WHERE name LIKE '%012'"))
@@ -249,12 +233,7 @@ def _resampled(arc, ways):
     return out.select("run", F.col("arc").alias("way"), *r6("x"))
 
 
-@register("g1_arc_length_and_resampling", over(ARC + ", q AS (SELECT run, 50.0 * k AS arc FROM (SELECT DISTINCT run FROM ar) CROSS JOIN generate_series(0, 6) g(k)), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
-def _(s, d):
-    return _resampled(_arc(s, d), F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: k * 50.0))
-
-
-@register("g1_arc_length_whole_run", over(ARC + ", tot AS (SELECT run, max(arc) AS len FROM ar GROUP BY run), q AS (SELECT run, 50.0::DOUBLE * unnest(range(0, floor(len / 50)::BIGINT + 1)) AS arc FROM tot UNION SELECT run, len FROM tot), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
+@register("g1_arc_length_and_resampling", over(ARC + ", tot AS (SELECT run, max(arc) AS len FROM ar GROUP BY run), q AS (SELECT run, 50.0::DOUBLE * unnest(range(0, floor(len / 50)::BIGINT + 1)) AS arc FROM tot UNION SELECT run, len FROM tot), lo AS (SELECT q.run, q.arc AS way, a.arc AS s0, a.x AS x0 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc >= a.arc), hi AS (SELECT q.run, q.arc AS way, a.arc AS s1, a.x AS x1 FROM q ASOF LEFT JOIN ar a ON q.run = a.run AND q.arc < a.arc)", "SELECT run, way, round(CASE WHEN s1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (way - s0) / (s1 - s0) END, 6) AS x FROM lo JOIN hi USING (run, way)"))
 def _(s, d):
     total = F.max("arc")
     steps = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(total / 50)), lambda k: k * 50.0)

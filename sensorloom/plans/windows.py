@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import episodes, timeops, windows
-from sensorloom.operators.windows import line, so_far
+from sensorloom.operators.windows import backward, line, so_far
 from sensorloom.plans.joins import near
 from sensorloom.plans.registry import HOUR, fix, front, log, over, r6, rear, register
 
@@ -110,7 +110,7 @@ def _(s, d):
     x = front(s, d).withColumn("step", F.abs(F.col("v") - F.lag("v").over(line())))
     x = x.withColumn("med", F.percentile("step", F.lit(0.5)).over(around)).withColumn("n", F.count("step").over(around))
     x = x.withColumn("hit", F.coalesce((F.col("v") < 20) & (F.col("n") >= 3) & (F.col("med") > 25), F.lit(False))).withColumn("at", F.when(F.col("hit"), F.col("t")))
-    back, ahead = F.max("at").over(so_far(line())), F.min("at").over(line().rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back, ahead = F.max("at").over(so_far(line())), F.min("at").over(so_far(backward()))
     close = (F.col("n") < 3) & (F.coalesce(F.col("t") - back <= TOL_DAY, F.lit(False)) | F.coalesce(ahead - F.col("t") <= TOL_DAY, F.lit(False)))
     return x.select("run", "seq", (F.col("hit") | close).alias("frozen"))
 

@@ -10,7 +10,7 @@ from tests.compare import SF
 
 
 def test_resampling_reaches_each_runs_end(spark):
-    got = {r.run: r for r in plans.queries()["g1_arc_length_whole_run"](spark, SF).groupBy("run").agg(F.max("way").alias("end"), F.count(F.lit(1)).alias("n"), F.max_by("x", "way").alias("x")).collect()}
+    got = {r.run: r for r in plans.queries()["g1_arc_length_and_resampling"](spark, SF).groupBy("run").agg(F.max("way").alias("end"), F.count(F.lit(1)).alias("n"), F.max_by("x", "way").alias("x")).collect()}
     runs: dict = {}
     for r in front(spark, SF).orderBy("run", "t", "seq").collect():
         runs.setdefault(r.run, []).append(r.v)
@@ -26,16 +26,15 @@ def test_cache_holds_and_returns_every_run(spark, monkeypatch):
     written = []
     write = logs.write_cache
     monkeypatch.setattr(logs, "write_cache", lambda samples, path: (written.append(path), write(samples, path)))
-    got = plans.queries()["s6_cache_read_all_runs"](spark, SF).collect()
-    plans.queries()["s6_cache_read"](spark, SF).collect()
-    assert len(written) == 2
+    got = plans.queries()["s6_cache_read"](spark, SF).collect()
+    assert len(written) == 1
     whole = log(spark, SF).groupBy("run", "stream").count().collect()
     assert sorted((r.run, r.stream, r.n) for r in got) == sorted((r["run"], r["stream"], r["count"]) for r in whole)
     assert len({r.run for r in got}) > 1
 
 
 def test_ways_are_looked_up_to_each_runs_last(spark):
-    got = {r.run: r.n for r in plans.queries()["j25_inverse_whole_run"](spark, SF).groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r.run: r.n for r in plans.queries()["j25_inverse_interpolation"](spark, SF).groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = {r.run: r.total for r in rear(spark, SF).groupBy("run").agg(F.sum("v").alias("total")).collect()}
     assert got == {run: int(total // 100) for run, total in totals.items() if total >= 100}
     assert max(got.values()) > 5

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorloom.storage import materialise, scratch_dir  # noqa: F401  (for the operators)
+
+
 #: Rows of a broadcast side are counted first; beyond this the join shuffles instead.
 BROADCAST_ROWS = 500_000
 #: Bytes of text handled at once inside a Python worker.
@@ -23,30 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="sensorloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.  The folder goes
-    when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/sensorloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` that hold about ``limit`` bytes of text each (one row at least)."""
     n = batch.num_rows

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.common import text_bytes, text_chunks
+from sensorloom.llm.common import materialise, text_bytes, text_chunks
 
 WINDOW, ONE_IN = 13, 20
 #: Words of benchmark text searched for at once.
@@ -156,7 +156,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, columns: list[str],
     def passes(block, last: bool) -> DataFrame:
         patterns = spark.sparkContext.broadcast(compile_patterns([(n, t) for n, _, t in block], window))
         fields = T.StructType(out.fields[:-1] if last else out.fields)
-        return result.mapInArrow(scan(patterns, {n: i for n, i, _ in block}, fields.fieldNames()), fields)
+        scanned = result.mapInArrow(scan(patterns, {n: i for n, i, _ in block}, fields.fieldNames()), fields)
+        if last:
+            return scanned
+        kept = materialise(scanned, "decontam-block")  # one block at a time is held by the executors
+        patterns.destroy()
+        return kept
 
     result = docs.select(*columns, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items"), F.array().cast("array<struct<first:int,last:int>>").alias("hit_spans"), docs[text_col].alias("__t"))
     held: list = []

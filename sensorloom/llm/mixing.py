@@ -9,8 +9,10 @@ single records then take up what is left of the target.
 
 Sums that decide are sums of whole numbers and lambda is rounded, so reruns agree.  Edge cases:
 a null text has size 0; a null source is a source, last in order; a source without tokens has
-target 0 and keeps its records once; rows equal in id and text are dealt alike; an empty table
-gives an empty result; columns added here replace any of the same name.
+target 0 and keeps its records once; rows equal in id and text are dealt alike; a document longer
+than its source's target may be taken once, or not at all; an empty table gives an empty result.
+Input columns stay as they are: an added column whose name is taken gets ``mix_`` before it
+(``added_names``), and ``mixed_copies`` returns the input's own columns only.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ ADDED = ["size", "source_size", "target", "rate", "copies", "taken"]
 _BINS, _ROUNDS, _PICKS = 512, 4, 3
 
 
-def word_count(text_col: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+def word_count_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -124,19 +126,17 @@ def _threshold(slim: DataFrame, solved: DataFrame, cap: int, n_sources: int) ->
         bins = (
             _joined(rows, state, n_sources)
             .filter((F.col("v") >= F.col("low")) & (F.col("v") < F.col("low") + F.col("width")))
-            .withColumn("bin", F.least(F.floor((F.col("v") - F.col("low")) / step), F.lit(_BINS - 1)))
+            .withColumn("bin", F.least(F.floor((F.col("v") - F.col("low")) / step), F.lit(_BINS - 1)).cast("long"))
             .groupBy("source", "bin")
             .agg(F.sum("size").alias("s"))
         )
-        # at most _BINS rows a source
-        run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        fits = bins.withColumn("cum", F.sum("s").over(run))
-        pick = (
-            state.alias("a").join(fits.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-            .withColumn("over", F.col("base") + F.col("below") + F.col("cum") > F.col("target"))
-            .groupBy(*[F.col(f"a.{c}").alias(c) for c in state.columns])
-            .agg(F.min(F.when(F.col("over"), F.col("bin"))).alias("bin"), F.coalesce(F.max(F.when(~F.col("over"), F.col("cum"))), F.lit(0)).alias("cum"))
-        )
+        # at most _BINS entries a source, added up in order until the target is passed
+        listed = bins.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("bin", "s"))).alias("bins"))
+        room = F.col("target") - F.col("base") - F.col("below")
+        none = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("long").alias("bin"))
+        fill = lambda a, x: F.when(a["bin"].isNotNull() | (a["cum"] + x["s"] <= F.col("room")), F.struct(F.when(a["bin"].isNull(), a["cum"] + x["s"]).otherwise(a["cum"]).alias("cum"), a["bin"].alias("bin"))).otherwise(F.struct(a["cum"].alias("cum"), x["bin"].cast("long").alias("bin")))
+        with_bins = state.alias("a").join(listed.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "bins").withColumn("room", room)
+        pick = with_bins.withColumn("fit", F.aggregate(F.coalesce("bins", F.array().cast("array<struct<bin:bigint,s:bigint>>")), none, fill)).withColumn("bin", F.col("fit.bin")).withColumn("cum", F.col("fit.cum"))
         # all of them fit: the threshold is the upper end, an empty range from here on
         step = F.col("width") / _BINS
         state = materialise(
@@ -180,11 +180,21 @@ def _final(cap: int) -> Column:
     return _copies(cap) + F.aggregate(mine, F.lit(0).cast("long"), lambda a, p: a + p["more"])
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 7, steps: int = 60, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` plus size, source_size, target, rate, copies and taken."""
-    columns = [c for c in docs.columns if c not in ADDED]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
-    slim = materialise(docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size"), u.alias("u")), "mix-sizes")
+def added_names(columns: list[str]) -> dict[str, str]:
+    """Names of the added columns beside ``columns``."""
+    taken, names = {c.lower() for c in columns}, {}
+    for name in ADDED:
+        names[name] = name
+        while names[name] in taken:
+            names[name] = f"mix_{names[name]}"
+        taken.add(names[name])
+    return names
+
+
+def _mixed(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 7, steps: int = 60, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``row``, the input's columns, beside the columns of ``ADDED``."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]), 11) / F.lit(float(1 << 53))
+    slim = materialise(docs.select(docs[source_col].alias("source"), word_count_of(docs[text_col]).alias("size"), u.alias("u")), "mix-sizes")
     hist = materialise(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     sizes = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = materialise(source_targets(sizes, weights=weights, share=share, cap=cap), "mix-targets")
@@ -192,12 +202,25 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
     solved = materialise(_solve(hist, targets, cap, steps), "mix-solved")
     params = _top_up(slim, _threshold(slim, solved, cap, n_sources), cap, n_sources)
 
-    rows = docs.select(F.struct(*columns).alias("__row"), docs[source_col].alias("source"), word_count(text_col).alias("size"), u.alias("u"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("source"), word_count_of(docs[text_col]).alias("size"), u.alias("u"))
     mixed = _joined(rows, params, n_sources)
-    added = mixed.select("__row", "size", "source_size", "target", _rate(cap).alias("rate"), _final(cap).alias("copies"), (_final(cap) * F.col("size")).alias("taken"))
-    return added.select("__row.*", *ADDED)
+    return mixed.select("row", "size", "source_size", "target", _rate(cap).alias("rate"), _final(cap).alias("copies"), (_final(cap) * F.col("size")).alias("taken"))
 
 
-def mixed_copies(mixed: DataFrame) -> DataFrame:
-    """Each record as often as the mix takes it."""
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy")
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """All columns of ``docs`` plus size, source_size, target, rate, copies and taken.
+
+    Options are those of ``mixed_copies``.
+    """
+    names = added_names(docs.columns)
+    return _mixed(docs, **options).select("row.*", *[F.col(c).alias(n) for c, n in names.items()])
+
+
+def mixed_copies(docs: DataFrame, **options) -> DataFrame:
+    """Each record as often as the mix takes it, with the columns of ``docs``.
+
+    Options: ``weights`` and ``share`` of the targets, ``cap`` of copies, ``seed``, most ``steps`` of
+    Newton's iteration, and the columns ``id_col``, ``text_col``, ``source_col``.
+    """
+    taken = _mixed(docs, **options).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("row.*")

@@ -5,64 +5,114 @@ bucket in memory (Fisher-Yates, seeded by bucket).  Buckets in order, each in it
 order, are one random order of all records; shards are equal consecutive runs of it, so that
 the ``rows`` law holds: shard sizes differ by one at most.
 
-The scatter key covers id and text, so rows that share a null or repeated id still spread.
-Rows equal in both are interchangeable and take neighbouring places.  Edge cases: a null text
-is stored as null and counts as empty; an empty table gives an empty result; extra columns
-travel along, and columns whose names this operator adds (``shard``, ``slot``) replace any
+The scatter key covers all columns and the number of a record among records equal to it, so copies
+spread as strangers do, and neither the order nor the partitions of the input matter.  Copies are
+counted before they are shuffled: a record repeated very often is one row until it is dealt.
+
+Edge cases: a null text is stored as null and counts as empty; null and repeated ids spread as any
+others; a very long text is one record of its bucket; an empty table gives an empty result; extra
+columns travel along, and columns whose names this operator adds (``shard``, ``slot``) replace any
 of the same name.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.llm.common import materialise
+
 LAW = "rows"
-_BUCKET, _KEY = "__bucket", "__key"
+#: Buckets whose counts are added up by one task.
+_SPAN = 4096
 
 
 def record_size(text_col: str = "text"):
     return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 24, *, seed: int = 20_240_917, bucket_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _free(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _plain(field: T.StructField) -> Column:
+    """A column as something that can be hashed and measured."""
+    atomic = isinstance(field.dataType, (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    c = F.col(f"`{field.name}`")
+    return c if atomic else F.to_json(F.struct(c))
+
+
+def _bytes(field: T.StructField) -> Column:
+    c = _plain(field)
+    if isinstance(field.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+
+
+def _numbered(docs: DataFrame, key: Column, name: str) -> DataFrame:
+    """``docs`` with a key for each record: equal records are counted, then dealt one by one."""
+    hashed = docs.withColumn(name, key)
+    if hashed.groupBy(name).count().filter("count > 1").isEmpty():
+        return hashed
+    row, copy, times = (_free(n, docs.columns) for n in ("__row", "__copy", "__times"))
+    orderable = [_plain(f).alias(f.name) for f in docs.schema.fields]
+    equal = hashed.select(F.struct(*orderable).alias(row), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(copy), name)
+    counted = equal.groupBy(row, name).agg(F.first(copy).alias(copy), F.count(F.lit(1)).alias(times))
+    dealt = counted.select(copy, name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times))
+    # the first keeps the key that it would have without copies
+    return dealt.select(F.col(f"{copy}.*"), F.when(F.col(times) == 1, F.col(name)).otherwise(F.xxhash64(name, times)).alias(name))
+
+
+def _starts(counts: DataFrame) -> DataFrame:
+    """``bucket, first``: records in all buckets before each one.
+
+    Sums run within spans of buckets and then over the spans, so no task holds all buckets.
+    """
+    spans = counts.withColumn("span", F.floor(F.col("bucket") / _SPAN))
+    totals = spans.groupBy("span").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("span", before.alias("base"))  # one row for _SPAN buckets
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spans.withColumn("within", within).join(bases, "span").select("bucket", (F.col("base") + F.col("within")).alias("first"))
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int = 24, *, seed: int = 20_240_917, bucket_bytes: int = 4 << 20) -> DataFrame:
     """All columns of ``docs`` plus ``shard int`` and ``slot long``.
 
-    ``bucket_bytes``: text bytes that one bucket holds on average, the memory of pass two.
+    ``bucket_bytes``: bytes of whole records that one bucket holds on average, the memory of pass two.
     """
     docs = docs.drop("shard", "slot")
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(record_size(text_col)).alias("b")).first()
+    key, bucket = _free("__key", docs.columns), _free("__bucket", docs.columns)
+    size = sum((_bytes(f) for f in docs.schema.fields), F.lit(0)).cast("long")
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     rows, buckets = total["n"], max(1, -(-(total["b"] or 0) // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(buckets)).cast("long")
-    scattered = docs.withColumn(_KEY, key).withColumn(_BUCKET, bucket)
-
-    # One count a bucket: their number is bounded by input bytes / bucket_bytes.
-    counts = np.zeros(buckets, dtype=np.int64)
-    for r in scattered.groupBy(_BUCKET).count().toLocalIterator():
-        counts[r[0]] = r[1]
-    first = docs.sparkSession.sparkContext.broadcast(np.cumsum(counts) - counts)
+    keyed = _numbered(docs, F.xxhash64(F.lit(seed), *[_plain(f) for f in docs.schema.fields]), key)
+    scattered = keyed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(buckets)).cast("long"))
+    starts = materialise(_starts(scattered.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))), "shard-starts")
     base, extra = divmod(rows, shards)
+    ties = [(f.name, "ascending") for f in docs.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))]
 
-    def place(table: pa.Table) -> pa.Table:
-        b = table.column(_BUCKET)[0].as_py()
-        table = table.sort_by([(_KEY, "ascending"), (id_col, "ascending"), (text_col, "ascending")])
+    def place(table: pa.Table, start: pa.Table) -> pa.Table:
+        table = table.sort_by([(key, "ascending"), *ties])
         order = np.arange(table.num_rows)
-        np.random.Generator(np.random.PCG64([seed, b])).shuffle(order)  # Fisher-Yates
-        at = first.value[b] + np.arange(table.num_rows)
+        if table.num_rows:
+            np.random.Generator(np.random.PCG64([seed, table.column(bucket)[0].as_py()])).shuffle(order)  # Fisher-Yates
+        at = (start["first"][0].as_py() if start.num_rows else 0) + np.arange(table.num_rows)
         edge = extra * (base + 1)
         long_part = at < edge
         shard = np.where(long_part, at // (base + 1), extra + (at - edge) // max(base, 1))
         slot = np.where(long_part, at % (base + 1), (at - edge) % max(base, 1))
-        out = table.take(pa.array(order)).drop_columns([_BUCKET, _KEY])
+        out = table.take(pa.array(order)).drop_columns([bucket, key])
         return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return scattered.groupBy(_BUCKET).applyInArrow(place, schema)
+    return scattered.groupBy(bucket).cogroup(starts.groupBy("bucket")).applyInArrow(place, schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -80,5 +130,3 @@ def shard_digest(sharded: DataFrame, *, text_col: str = "text") -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-

@@ -16,17 +16,15 @@ common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b
 links AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
 both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
+degree AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY x),
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id,
        CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY CASE WHEN n.n IS NULL THEN 'none' || d.doc_id ELSE f END) END AS class_id
-FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+     , coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN degree USING (doc_id) LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
 LEFT JOIN (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS f FROM g GROUP BY doc_id) USING (doc_id)
 """
 
-NGRAM_LINKS = NGRAM_JOIN.replace("least AS (", "degree AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY x),\nleast AS (").replace(
-    " AS class_id\nFROM d", " AS class_id, coalesce(n_links, 0)::BIGINT AS n_links\nFROM d LEFT JOIN degree USING (doc_id)"
-)
-
 SUBSTRING_DEDUP = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
@@ -73,4 +71,4 @@ FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id
 
 
 def sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op1_ngram_links": NGRAM_LINKS, "op2_substring_dedup": SUBSTRING_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_licenses": licenses()}
+    return {"op1_ngram_join": NGRAM_JOIN, "op2_substring_dedup": SUBSTRING_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_licenses": licenses()}

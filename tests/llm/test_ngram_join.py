@@ -50,9 +50,41 @@ def test_empty_table(spark):
 
 
 def test_boundary_follows_cost():
-    assert ngram_join.boundary({}) >= 1
-    assert ngram_join.boundary({3: 1000}) > 3  # one subset beats several list entries
-    assert ngram_join.boundary({400: 1000}) <= 24
+    assert ngram_join.boundary({}) == 1
+    assert ngram_join.boundary({3: (1000, 2000)}) > 3  # one subset beats two list entries
+    assert ngram_join.boundary({10: (1000, 6000)}) <= 10  # pairs: lists are cheaper than 56 subsets
+    assert ngram_join.boundary({10: (1000, 3_000_000)}) > 10  # a thousand copies: subsets are cheaper
+    assert ngram_join.boundary({65: (1000, 10**9)}) == 1  # large sets never enumerate
+
+
+def test_light_side_takes_the_small_sets_of_long_lists(spark):
+    rows = [(k, " ".join(f"w{j}" if j != 9 else f"own{k}" for j in range(16)), "en", "a") for k in range(400)]  # 12 shingles, 5 of them its own
+    rows += [(1000 + k, " ".join(f"v{j}" if j > 0 else f"own{k}" for j in range(20)), "en", "a") for k in range(300)]  # 16 shingles, 15 shared
+    docs = documents(spark, rows)
+    _, classes, sets, labels = ngram_join._classes(docs, "doc_id", "text", 5)
+    lists, below = ngram_join._lists(sets, 5)
+    assert below > 16 and lists.filter("place = 0").select("sid").distinct().count() == sets.filter(f"n < {below}").count() > 0
+    out = ngram_join.jaccard_components(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == expected(rows)
+
+
+def test_subsets_meet_whenever_sets_are_similar():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 14)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 60, rng.integers(0, 2)).astype(np.uint64)]))
+        if len(b) and ngram_join.similar(a, b):
+            assert len(np.intersect1d(ngram_join._subsets(a, 30), ngram_join._subsets(b, 30)))
+
+
+def test_documents_of_one_id(spark):
+    t, u = " ".join(f"t{k}" for k in range(30)), " ".join(f"u{k}" for k in range(30))
+    rows = [(3, t, "en", "a"), (5, t, "en", "a"), (5, u, "en", "a"), (None, t, "en", "a"), (7, None, "en", "a")]
+    out = ngram_join.jaccard_components(documents(spark, rows), keys=True).collect()
+    of = {(r.doc_id, r.n_shingles, r.text_key): (r.component_id, r.component_key) for r in out}
+    firsts = {k: v == (k[0], k[2]) for k, v in of.items() if k[0] is not None}
+    assert len(out) == 5 and sum(firsts.values()) == 3  # (3, t), (5, u) and the empty one
+    assert {v[0] for k, v in of.items() if k[0] == 5} == {3, 5}
 
 
 def test_prefixes_of_similar_sets_share_enough():
@@ -121,4 +153,34 @@ def test_every_link_is_counted_and_paired(spark, monkeypatch):
 
 
 def test_counted_links_equal_sql(spark):
-    assert difference(spark, connection(), catalog.op1_ngram_links, catalog.oracle_sql()["op1_ngram_links"]) == ""
+    assert difference(spark, connection(), catalog.op1_ngram_join, catalog.oracle_sql()["op1_ngram_join"]) == ""
+
+
+def test_two_levels_tell_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    blocks = [rng.integers(0, 1 << 63, 3000).astype(np.uint64) for _ in range(9)]
+    blocks[4][:200] = blocks[1][:200]
+    blocks[7][:50] = blocks[1][:50]
+    blocks[8][10:20] = blocks[8][:10]
+
+    def told(fan):
+        monkeypatch.setattr(repeats, "FAN", fan)
+        cells, found = [], {}
+        for n, keys in enumerate(blocks):
+            parts, known = repeats.split(keys, np.arange(len(keys)), 64)
+            assert len(parts) <= fan
+            cells += [(b, n, bytearray(k), bytearray(p)) for b, k, p in parts]
+            found[n] = set(known.tolist())
+        frame = spark.createDataFrame(cells, "bucket int, chunk long, keys binary, payload binary")
+        for r in repeats.tell(frame, 64, len(blocks)).collect():
+            found[r.chunk] |= set(repeats.unpack(bytes(r.payload), np.uint32).tolist())
+        return found
+
+    one, two = told(1024), told(4)
+    assert one == two == {**{n: set() for n in range(9)}, 1: set(range(200)), 4: set(range(200)), 7: set(range(50)), 8: set(range(20))}
+
+
+def test_cells_stay_bounded_at_10_tb():
+    buckets = repeats.buckets_for(10 << 40)
+    cells, _ = repeats.split(np.random.default_rng(0).integers(0, 1 << 63, 200_000).astype(np.uint64), np.arange(200_000), buckets)
+    assert buckets > 400_000 and len(cells) <= repeats.FAN and -(-buckets // repeats.FAN) <= repeats.FAN

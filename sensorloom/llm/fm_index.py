@@ -1,25 +1,59 @@
-"""A compressed FM-index over sequences of word numbers, searched for many patterns at once."""
+"""A compressed FM-index over sequences of word numbers, searched for many patterns at once.
+
+What is kept of a text is its Burrows-Wheeler transform as a wavelet tree of compressed bit vectors,
+and one text position in ``SAMPLE``; the others are found by walking back to a sampled one.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+SAMPLE = 8
+_ALL = ~np.uint64(0)
+
 
 class BitVector:
-    """Packed bits with counts before every word; ``rank`` counts ones before each position."""
+    """Bits in words of 64, of which only those that are neither all zeros nor all ones are stored.
+
+    Eight words are a block with its count of ones and of stored words; a word has its count within the
+    block.  A transform of repetitive text has long runs, so most words need no storing.
+    """
 
-    __slots__ = ("words", "before")
+    __slots__ = ("stored", "mixed", "full", "before", "stored_before", "within")
 
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros((len(bits) // 64 + 1) * 64, dtype=bool)
+        blocks = len(bits) // 512 + 1
+        padded = np.zeros(blocks * 512, dtype=bool)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words).astype(np.int64))].astype(np.uint32)
+        words = np.packbits(padded, bitorder="little").view(np.uint64)
+        mixed = (words != 0) & (words != _ALL)
+        self.stored = np.r_[words[mixed], np.uint64(0)]
+        self.mixed = np.packbits(mixed, bitorder="little")
+        self.full = np.packbits(words == _ALL, bitorder="little")
+        ones = np.bitwise_count(words).astype(np.int64).reshape(-1, 8)
+        self.before = np.cumsum(np.r_[0, ones.sum(axis=1)]).astype(np.uint32)
+        self.stored_before = np.cumsum(np.r_[0, mixed.reshape(-1, 8).sum(axis=1)]).astype(np.uint32)
+        self.within = (np.cumsum(ones, axis=1) - ones).astype(np.uint16).ravel()
+
+    def _word(self, word: np.ndarray) -> np.ndarray:
+        block, j = word >> 3, (word & 7).astype(np.uint8)
+        mixed = self.mixed[block]
+        here = (mixed >> j) & 1 == 1
+        at = self.stored_before[block] + np.bitwise_count(mixed & ((np.uint8(1) << j) - np.uint8(1)))
+        plain = np.where((self.full[block] >> j) & 1 == 1, _ALL, np.uint64(0))
+        return np.where(here, self.stored[np.where(here, at, 0)], plain)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
         word, bit = at >> 6, (at & 63).astype(np.uint64)
-        below = (np.uint64(1) << bit) - np.uint64(1)
-        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & below)
+        below = self._word(word) & ((np.uint64(1) << bit) - np.uint64(1))
+        return self.before[word >> 3].astype(np.int64) + self.within[word] + np.bitwise_count(below)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self._word(at >> 6) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def nbytes(self) -> int:
+        return sum(getattr(self, name).nbytes for name in self.__slots__)
 
 
 class WaveletTree:
@@ -42,36 +76,47 @@ class WaveletTree:
             lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
         return lo, hi
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position and its rank, offset as in ``ranks``."""
+        symbol = np.zeros(len(at), np.int64)
+        for shift, (bits, zeros) in zip(self.shifts, self.levels, strict=True):
+            one, ones = bits.get(at), bits.rank(at)
+            symbol |= one.astype(np.int64) << shift
+            at = np.where(one, zeros + ones, at - ones)
+        return symbol, at
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by doubling the length that is told apart."""
+    n = len(symbols)
+    _, rank = np.unique(symbols, return_inverse=True)
+    rank, width = rank.astype(np.int64), 1
+    while True:
+        tail = np.zeros(n, dtype=np.int64)
+        tail[: max(0, n - width)] = rank[width:] + 1
+        pair = rank * (n + 1) + tail
+        order = np.argsort(pair, kind="stable")
+        step = np.r_[0, np.cumsum(pair[order[1:]] != pair[order[:-1]])]
+        if step[-1] == n - 1:
+            return order
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = step
+        width *= 2
 
-class FMIndex:
-    """Index of ``symbols`` (0 separates sequences) for patterns of up to ``depth`` symbols.
-
-    Suffixes are sorted by their first ``depth`` symbols at least, which is all that patterns of
-    that length can tell apart.
-    """
 
-    def __init__(self, symbols: np.ndarray, depth: int):
-        n = len(symbols)
-        _, rank = np.unique(symbols, return_inverse=True)
-        rank = rank.astype(np.int64)
-        width = 1
-        order = np.argsort(rank, kind="stable")
-        while width < depth:
-            tail = np.zeros(n, dtype=np.int64)
-            tail[: n - width] = rank[width:] + 1
-            pair = rank * (n + 1) + tail
-            order = np.argsort(pair, kind="stable")
-            step = np.r_[0, np.cumsum(pair[order[1:]] != pair[order[:-1]])]
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = step
-            width *= 2
-            if step[-1] == n - 1:
-                break
-        self.suffixes = order
-        self.size = int(symbols.max()) + 1
-        self.first = np.searchsorted(symbols[order], np.arange(self.size + 1))
-        self.tree = WaveletTree(symbols[order - 1], self.size)  # the symbol before each suffix, around the end
-        self.starts, _ = self.tree.ranks(np.arange(self.size), np.zeros(self.size, np.int64), np.zeros(self.size, np.int64))
+class FMIndex:
+    """Index of ``symbols`` (0 separates sequences)."""
+
+    def __init__(self, symbols: np.ndarray):
+        text = np.r_[symbols + 1, 0]  # one end, smaller than all else
+        order = suffix_order(text)
+        self.n, self.size = len(text), int(text.max()) + 1
+        self.first = np.searchsorted(text[order], np.arange(self.size + 1))
+        self.tree = WaveletTree(text[order - 1], self.size)  # the symbol before each suffix, around the end
+        nothing = np.zeros(self.size, np.int64)
+        self.starts, _ = self.tree.ranks(np.arange(self.size), nothing, nothing)
+        sampled = order % SAMPLE == 0
+        self.is_sampled, self.samples = BitVector(sampled), order[sampled].astype(np.uint32)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: suffix ranges of ``symbol`` + pattern from those of the patterns."""
@@ -85,11 +130,11 @@ class FMIndex:
         Returns each pattern's matching statistic up to ``length``, counting only suffixes that
         match elsewhere too, and its range of suffixes (left as it is once it holds a single one).
         """
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.suffixes), np.int64)
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         matched = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         for k in range(1, length + 1):
-            a, b = self.extend(text[ends[live] - k], lo[live], hi[live])
+            a, b = self.extend(text[ends[live] - k] + 1, lo[live], hi[live])
             lo[live], hi[live] = a, b
             more = b - a > 1
             live = live[more]
@@ -97,3 +142,19 @@ class FMIndex:
             if len(live) == 0:
                 break
         return matched, lo, hi
+
+    def locate(self, rank: np.ndarray) -> np.ndarray:
+        """Text positions of suffixes: steps back to a sampled one, which are added to its position."""
+        at, steps, out = rank.astype(np.int64), 0, np.empty(len(rank), np.int64)
+        open_ = np.arange(len(rank))
+        while len(open_):
+            known = self.is_sampled.get(at)
+            out[open_[known]] = self.samples[self.is_sampled.rank(at[known])].astype(np.int64) + steps
+            open_, at = open_[~known], at[~known]
+            symbol, offset = self.tree.access(at)
+            at = self.first[symbol] - self.starts[symbol] + offset
+            steps += 1
+        return out
+
+    def nbytes(self) -> int:
+        return sum(bits.nbytes() for bits, _ in self.tree.levels) + self.is_sampled.nbytes() + self.samples.nbytes + self.first.nbytes + self.starts.nbytes

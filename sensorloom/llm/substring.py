@@ -11,11 +11,15 @@ windows have equal anchors, so runs of windows with one anchor ("segments") can
 3. Different segments with one anchor meet in a shard.  The shard is FM-indexed, and backward search
    over the wavelet tree gives each streamed window's matching statistic; where it reaches the
    threshold, the earliest place in the window's range of suffixes tells whether it goes.
-4. Documents are rebuilt without the covered words.
+4. Documents are rebuilt without the covered words; the covered intervals are reported.
+
+So copies of a segment are told by 128 bits of digests before the index is built, as is every window
+of an anchor with very many segments; the index decides on what differs.
 
 Edge cases: a null text has no words; null ids come after all others; rows of one id and
-different texts are documents in order of their digest, rows equal in both are one place and do
-not remove each other; an empty table gives an empty result; extra columns are not read.
+different texts are documents in order of their hash, rows equal in both are one place and do
+not remove each other; a very long text is cut into segments as any other; an empty table gives an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +103,7 @@ def _scan(window: int, buckets: int):
             return pa.RecordBatch.from_pylist(rows, schema)
 
         for batch in batches:
-            ids = batch.column("i").to_pylist()
+            ids, xs = batch.column("i").to_pylist(), batch.column("x").to_pylist()
             for row, text, words, a, b in _documents(batch):
                 h, _, _, places = segments(words.hashes[a:b], window)
                 twice = np.flatnonzero(places > 1)  # repeats inside the segment: known at once
@@ -107,7 +111,7 @@ def _scan(window: int, buckets: int):
                 own.append(np.arange(n, n + len(h), dtype=np.uint32))
                 inside.append((h[twice], own[-1][twice]))
                 n += len(h)
-                docs.append((ids[row], _digest(text), b - a, _sha(text.split()), len(h)))
+                docs.append((ids[row], xs[row], b - a, _sha(text.split()), len(h)))
                 if n >= repeats.BLOCK_KEYS or len(docs) >= 100_000:
                     yield flush()
                     no, n, keys, own, inside, docs = no + 1, 0, [], [], [], []
@@ -117,11 +121,6 @@ def _scan(window: int, buckets: int):
     return run
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    blocks = list(zip(table["keys"].to_pylist(), table["payload"].to_pylist(), strict=True))
-    return pa.table({"chunk": table["chunk"].combine_chunks(), "payload": pa.array([repeats.pack(p) for p in repeats.repeated(blocks)], pa.binary())})
-
-
 def _tell(table: pa.Table) -> pa.Table:
     """One block's documents with the numbers of their segments whose anchor repeats."""
     own = table.filter(pc.is_valid(table["ids"]))
@@ -136,13 +135,6 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": flat["ids"], "dig": flat["dig"], "n_words": flat["words"], "sha": flat["sha"], "segs": segs})
 
 
-def _only_own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows matched by id, those with the text that was meant."""
-    for batch in batches:
-        own = [_digest((t or "").encode()) == d for t, d in zip(batch.column("t").to_pylist(), batch.column("dig").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(own, pa.bool_()))
-
-
 def _occurrences(window: int, by_window: bool):
     """(h, d, doc_id, dig, at, n, no, inner): wanted segments, or their windows one by one.
 
@@ -177,6 +169,7 @@ def _occurrences(window: int, by_window: bool):
     return run
 
 
+_SPANS = "array<struct<first:int,last:int>>"
 _OCC = "h long, d long, doc_id long, dig long, at int, n int, no int, inner boolean"
 
 
@@ -210,7 +203,7 @@ def search_shard(rows: list[tuple[tuple, int, list[bytes]]], window: int) -> lis
         symbols.append(0)
         owner_place.append(0)
     text, place = np.array(symbols, np.int64), np.array(owner_place, np.int64)
-    index = FMIndex(text, window)
+    index = FMIndex(text)
     counts = np.array([len(w) - window + 1 for _, _, w in rows], np.int64)
     starts = np.repeat(np.array(bounds) - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
     matched, lo, hi = index.search(text, starts + window, window)
@@ -220,7 +213,10 @@ def search_shard(rows: list[tuple[tuple, int, list[bytes]]], window: int) -> lis
         ranges, of = np.unique(lo[hit], return_inverse=True)
         ends = np.zeros(len(ranges), np.int64)
         ends[of] = hi[hit]
-        earliest = np.minimum.reduceat(np.r_[place[index.suffixes], np.iinfo(np.int64).max], np.c_[ranges, ends].ravel())[::2]
+        sizes = ends - ranges  # windows are equally long, so their ranges do not overlap
+        first = np.cumsum(sizes) - sizes
+        suffixes = np.repeat(ranges - first, sizes) + np.arange(sizes.sum())
+        earliest = np.minimum.reduceat(place[index.locate(suffixes)], first)
         gone[hit] = earliest[of] < place[starts[hit]]
     return np.split(gone, np.cumsum(counts)[:-1])
 
@@ -236,7 +232,7 @@ def _shard(window: int):
 
 
 def _rebuild(window: int):
-    """(doc_id, n_words, n_removed, kept_sha256) of documents with their windows that go."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept, spans) of documents with their windows that go."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,10 +250,12 @@ def _rebuild(window: int):
                     np.add.at(edge, w + window, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                out.append((ids[row], len(words), len(words) - len(kept), _sha(kept), b" ".join(kept).decode("utf-8", "replace")))
+                turns = np.flatnonzero(np.diff(np.r_[True, keep, True].astype(np.int8))).reshape(-1, 2)
+                spans = [{"first": a, "last": b - 1} for a, b in turns.tolist()]
+                out.append((ids[row], len(words), len(words) - len(kept), _sha(kept), b" ".join(kept).decode("utf-8", "replace"), spans))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
     return run
 
@@ -269,28 +267,29 @@ def _side(df: DataFrame, lists: str) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hot: int = HOT, shard_words: int = SHARD_WORDS, with_text: bool = True) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` and, if ``with_text``, ``kept``: null where the
-    text stays as it is.  ``id_col`` must hold whole numbers."""
+    """``doc_id, n_words, n_removed, kept_sha256`` and, if ``with_text``, ``kept``, null where the
+    text stays as it is, and ``spans``: the removed intervals, as first and last word from 0.
+
+    ``id_col`` must hold whole numbers.  ``hot`` different segments or ``shard_words`` words are the
+    most that an anchor brings to a shard whole.
+    """
     if not ANCHOR <= window:
         raise ValueError(f"a window has at least {ANCHOR} words")
-    source = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
+    source = docs.select(docs[id_col].cast("long").alias("i"), F.xxhash64(docs[text_col]).alias("x"), docs[text_col].alias("t"))
     total = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    scan = materialise(source.mapInArrow(_scan(window, repeats.buckets_for(total)), _SCAN), "dedup-scan")
-    replies = scan.filter("kind = 0").select("bucket", "chunk", "keys", "payload").groupBy("bucket").applyInArrow(_resolve, "chunk long, payload binary")
+    buckets = repeats.buckets_for(total)
+    scan = materialise(source.mapInArrow(_scan(window, buckets), _SCAN), "dedup-scan")
+    replies = repeats.tell(scan.filter("kind = 0").select("bucket", "chunk", "keys", "payload"), buckets, scan.filter("kind = 1").count())
     own = scan.filter("kind = 1").select("chunk", F.lit(None).cast("binary").alias("payload"), "ids", "dig", "words", "sha", "counts", "known")
     told = own.unionByName(replies, allowMissingColumns=True).groupBy("chunk").applyInArrow(_tell, "doc_id long, dig long, n_words long, sha string, segs array<int>")
     rows = materialise(told, "dedup-rows")
-    plain = rows.filter(F.size("segs") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    plain = rows.filter(F.size("segs") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"), F.array().cast(_SPANS).alias("spans"))
 
     some = rows.filter(F.size("segs") > 0).select("doc_id", "dig", "segs").dropDuplicates(["doc_id", "dig"])
     # Texts with repeated anchors, kept aside: the later steps read these only.
-    found = source.join(_side(some, "segs"), F.col("i").eqNullSafe(F.col("doc_id"))).select("doc_id", "dig", "segs", "t")
-    one_each = rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if one_each:
-        found = found.withColumn("dig", F.lit(0).cast("long"))  # the id alone tells the document
-    else:
-        found = found.mapInArrow(_only_own, "doc_id long, dig long, segs array<int>, t string")
+    found = source.join(_side(some, "segs"), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("dig"))).select("doc_id", "dig", "segs", "t")
     cand = materialise(found, "dedup-texts")
+    one_each = cand.groupBy("doc_id", "dig").count().filter("count > 1").isEmpty()
     occ = materialise(cand.mapInArrow(_occurrences(window, False), _OCC), "dedup-places")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("dig").alias("dig"), F.col("at").alias("at"))
 
@@ -298,11 +297,11 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return of.groupBy("h", "d").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner"))
 
     def several_of(of: DataFrame) -> DataFrame:
-        return of.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("inner").alias("any_inner"))
+        return of.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long") + window - 1).alias("words"), F.max("inner").alias("any_inner"))
 
     each = materialise(firsts(occ), "dedup-first")
     texts_of = several_of(each)
-    hot_ones = materialise(texts_of.filter(F.col("c") > hot).select("h"), "dedup-hot")
+    hot_ones = materialise(texts_of.filter((F.col("c") > hot) | (F.col("words") > shard_words)).select("h"), "dedup-hot")
     if not hot_ones.isEmpty():
         hot_segs = occ.join(hot_ones, "h").groupBy("doc_id", "dig").agg(F.collect_set("no").alias("segs")).select(F.col("doc_id").alias("__id"), F.col("dig").alias("__dig"), "segs")
         again = cand.drop("segs").join(hot_segs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("dig") == F.col("__dig"))).select("doc_id", "dig", "segs", "t")
@@ -334,7 +333,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     rebuilt = (
         cand.drop("segs").join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("dig") == F.col("__dig")), "left").select("doc_id", "t", "marks")
-        .mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+        .mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans " + _SPANS)
     )
     out = plain.unionByName(rebuilt.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))))
-    return out if with_text else out.drop("kept")
+    return out if with_text else out.drop("kept", "spans")

@@ -63,7 +63,7 @@ def test_one_document_of_each_group_stays(out):
     before = [tuple(r) for r in out["language_id"]]
     labels = {i: c for i, _, c in components(before)}
     keep = {c for c in labels.values() if c is not None}
-    want = sorted({(str(i), t) for i, t, *_ in before if i is None or i in keep})
+    want = sorted({(str(i), t) for i, t, *_ in before if i in keep} | {(str(i), t) for i, t, *_ in before if i is None})
     assert key(out["ngram_join"]) == want
 
 
@@ -97,3 +97,32 @@ def test_shards_hold_all_rows(out):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def kept(spark, rows, schema="doc_id long, text string, lang string, source string, n_chars long, size long, shard long"):
+    return sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, schema), "").collect()), key=str)
+
+
+def test_other_texts_of_an_id_stay(spark):
+    t, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "tuv")
+    row = lambda i, text, n=1: (i, text, "en", "a", n, 1000, 7)
+    rows = [row(3, t), row(5, t), row(5, u), row(5, u), row(None, t), row(None, t), row(6, None), row(6, ""), row(6, ""), row(8, v, 2), row(8, v, 1)]
+    want = [row(3, t), row(5, u), row(None, t), row(None, t), row(6, None), row(6, ""), row(6, ""), row(8, v, 1)]
+    assert kept(spark, rows) == sorted(want, key=str)
+    assert kept(spark, rows[:0] or []) == []
+
+
+def test_no_documents_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, target string, copies string, lang_pred string, score string, n_hit string, row string, slot string, __id string, component_id string"
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, f"{text} own{k} " * 3 if k % 2 else " ".join(f"x{k}y{j}" for j in range(50)), "en", "a", 1, *["mine"] * 10) for k in range(40)]
+    spark.createDataFrame([(1, LONG)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for n, some in enumerate((rows, [])):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "sharding" or out.columns == docs.columns
+            assert all(r["size"] == r.target == r.copies == r.score == r.component_id == "mine" for r in out.collect())
+            assert bool(some) == (not out.isEmpty())
+            out.write.parquet(str(tmp_path / f"{name}-{n}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{n}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorloom.llm.licenses import TEMPLATES, THRESHOLD, bigrams
+from sensorloom.llm.licenses import TEMPLATES, THRESHOLD, bigrams, least_common, longest
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD, _FOLDED = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,15 +54,19 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
 
 def licenses() -> str:
     known = sorted({(name, tuple(bigrams(text))) for name, text in TEMPLATES})
-    rows = ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in known)
+    rows = ", ".join(f"({k}, '{name}', {len(g)}, {least_common(len(g), THRESHOLD)}, {longest(len(g), THRESHOLD)})" for k, (name, g) in enumerate(known))
+    grams = ", ".join(f"({k}, '{x}')" for k, (_, g) in enumerate(known) for x in g)
     return rf"""
-WITH t(license, grams) AS (VALUES {rows}),
-x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM documents),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM x
-      UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n\s*')) AS p FROM x) WHERE contains(p, chr(10))),
-w AS (SELECT doc_id, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM u),
-g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1),
-s AS (SELECT DISTINCT doc_id, license, round(2.0 * len(list_intersect(a, grams)) / (len(a) + len(grams)), 6) AS dice FROM g, t),
+WITH t(k, license, n, least, most) AS (VALUES {rows}), tg(k, g) AS (VALUES {grams}),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM w WHERE len(w) > 1),
+pos AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS g FROM b),
+mine AS (SELECT doc_id, k, i, g FROM pos JOIN tg USING (g)),
+ok AS (SELECT doc_id, k FROM mine JOIN t USING (k) GROUP BY doc_id, k, least HAVING count(DISTINCT g) >= least),
+near AS (SELECT m.* FROM mine m JOIN ok USING (doc_id, k)),
+span AS (SELECT a.doc_id, a.k, a.i AS lo, z.i AS hi FROM near a JOIN near z ON a.doc_id = z.doc_id AND a.k = z.k AND z.i >= a.i JOIN t ON t.k = a.k WHERE z.i - a.i < most),
+common AS (SELECT s.doc_id, s.k, s.lo, s.hi, count(DISTINCT m.g) AS c FROM span s JOIN near m ON m.doc_id = s.doc_id AND m.k = s.k AND m.i BETWEEN s.lo AND s.hi GROUP BY ALL),
+s AS (SELECT c.doc_id, license, round(2.0 * c / (len(list_distinct(p[lo:hi])) + n), 6) AS dice FROM common c JOIN t USING (k) JOIN b ON b.doc_id = c.doc_id WHERE c >= least),
 m AS (SELECT * FROM s WHERE dice >= {THRESHOLD})
 SELECT d.doc_id, count(DISTINCT license) AS n_licenses, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses,
        arg_min(license, (-dice, license)) AS best_license, max(dice) AS best_dice

@@ -49,6 +49,8 @@ _U = np.uint64
 _T, _OF = 4, 5
 #: Sets beyond this size never enumerate: one of 64 elements has over 10^9 subsets.
 _LARGEST = 64
+#: Comparisons of a set with a list's pivots that the boundary's cost counts at most.
+_SETTLED = 4
 #: Partners of a pivot that one task compares; a class is hot if it has more than one in _HOT rows.
 _PARTNERS, _HOT = 4096, 1000
 #: Sets and elements of a block of a component, and columns of its matrix at a time.
@@ -242,7 +244,9 @@ def _lists(sets: DataFrame, k: int) -> tuple[DataFrame, int]:
     )
     placed = materialise(placed, "join-lists")
     size = F.least("n", F.lit(_LARGEST + 1)).alias("size")  # all larger ones are one row
-    cost = placed.groupBy(size).agg(F.count_distinct("sid").alias("sets"), F.sum("df").alias("entries"))
+    # an entry, and comparisons with the pivots that settle a list of similar sets
+    scan = 1 + F.least(F.col("df") - 1, F.lit(_SETTLED))
+    cost = placed.groupBy(size).agg(F.count_distinct("sid").alias("sets"), F.sum(scan).alias("entries"))
     below = boundary({r["size"]: (r["sets"], r["entries"]) for r in cost.collect()})
     lists = placed.filter(F.col("n") >= least_overlap(below)).drop("df")
     if below > 1:

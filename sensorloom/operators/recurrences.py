@@ -1,6 +1,7 @@
 """Ordered recurrences: what a row gives depends on what the rows before it gave.
 
-A run is a group, so parallelism is the number of runs.  Rows come sorted by (t, seq); state is small.
+A run is walked in one task, so parallelism is the number of runs.  Rows come sorted by (t, seq); state
+is small.  Rows without a run are left out.
 """
 
 from __future__ import annotations
@@ -11,20 +12,41 @@ from math import exp
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Rows = Callable[[pd.DataFrame], Iterator[tuple] | pd.DataFrame]
 
 
 def per_run(df: DataFrame, step: Rows, schema: str, *, key: str = "run", order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
-    """``step`` over each run's ordered rows."""
+    """``step`` over each run's ordered rows.
+
+    Runs are dealt to partitions and sorted there; a partition is walked run by run, each gathered from
+    the batches that hold it.
+    """
     names = T.StructType.fromDDL(schema).fieldNames()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = step(pdf.sort_values(list(order), ignore_index=True))
+    def answer(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        out = step(pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True))
         return out if isinstance(out, pd.DataFrame) else pd.DataFrame(list(out), columns=names)
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            k = pdf[key].to_numpy()
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+            done = []
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(k)], strict=True):
+                if held and held[0][key].iloc[0] != k[lo]:
+                    done.append(answer(held))
+                    held = []
+                held.append(pdf.iloc[lo:hi])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield answer(held)
+
+    return df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(walk, schema)
 
 
 def lag_filter(df: DataFrame, *, tau: float) -> DataFrame:

@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def over(ctes: str, select: str) -> str:
     """SQL over the log and its streams."""
-    return f"WITH {S}, {STREAMS}{', ' + ctes if ctes else ''} {select}"
+    return f"WITH RECURSIVE {S}, {STREAMS}{', ' + ctes if ctes else ''} {select}"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -158,7 +158,14 @@ def _(s, d):
     return episodes.intervals(front(s, d), F.col("v") > 40).select("run", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
-@register("w19_runs_with_short_ones_merged")
+MERGED = f"""lab AS (SELECT run, seq, t, CASE WHEN v > 60 THEN 'high' WHEN v < 15 THEN 'low' ELSE 'mid' END AS l FROM front),
+    ch AS (SELECT *, CASE WHEN l = lag(l) OVER (PARTITION BY run ORDER BY t, seq) THEN 0 ELSE 1 END AS new FROM lab), no AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY t, seq) AS no FROM ch),
+    g AS (SELECT run, no, min(l) AS l, min(t) AS a, max(t) AS b FROM no GROUP BY run, no), o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY a, b, l) AS i FROM g),
+    m(run, i, k, l, a, b) AS (SELECT run, i, 1, l, a, b FROM o WHERE i = 1 UNION ALL
+      SELECT o.run, o.i, CASE WHEN o.b - o.a < {DAY} OR o.l = m.l THEN m.k ELSE m.k + 1 END, CASE WHEN o.b - o.a < {DAY} OR o.l = m.l THEN m.l ELSE o.l END, CASE WHEN o.b - o.a < {DAY} OR o.l = m.l THEN m.a ELSE o.a END, o.b FROM m JOIN o ON o.run = m.run AND o.i = m.i + 1)"""
+
+
+@register("w19_runs_with_short_ones_merged", over(MERGED, "SELECT run, min(a) AS start, arg_max(b, i) AS stop, min(l) AS label FROM m GROUP BY run, k"))
 def _(s, d):
     label = F.when(F.col("v") > 60, "high").when(F.col("v") < 15, "low").otherwise("mid")
     return episodes.merge_short_runs(front(s, d), label, least=DAY)

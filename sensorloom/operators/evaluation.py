@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import geometry, timeops
+from sensorloom.functions import scalars
+from sensorloom.operators import aggregates, geometry, timeops
 from sensorloom.operators.windows import line
 
 #: name -> function of (messages of one run in order of arrival, options) to rows (seq, t, v).
@@ -71,6 +72,28 @@ def build_reference(fixes: DataFrame, *, good: Column, jump: float, key: str = "
     return out.filter(~F.col("__far")).drop("__far")
 
 
+REGIMES = ("stopped", "accel", "brake", "cruise")
+
+
+def evaluate(estimate: DataFrame, reference: DataFrame, *, tol: int, unit: float = 1e6, still: float = 0.1, edge: float = 0.15, key: str = "run") -> DataFrame:
+    """All metrics of an estimate (run, seq, t, v) against a reference, one row a run.
+
+    Each reference row meets the nearest answer within ``tol``: coverage, error statistics, those of
+    each regime of the reference, the error at the end, and both ways (``unit`` of t to a second).  A
+    reference as its own estimate has no error.
+    """
+    w = line(key, "t", "seq")
+    met = timeops.nearest(reference.select(key, "seq", "t", "v"), estimate, tol=tol, key=key).withColumn("e", F.col("r_v") - F.col("v"))
+    dt = (F.col("t") - F.lag("t").over(w)) / unit
+    part = lambda c: dt * (F.col(c) + F.lag(c).over(w)) / 2
+    step = F.when(dt > 0, (F.col("v") - F.lag("v").over(w)) / dt)
+    x = met.withColumn("regime", scalars.regime(F.coalesce(step, F.lit(0.0)), F.col("v"), edge=edge, still=still)).withColumn("way", part("v")).withColumn("r_way", part("r_v"))
+    of = lambda r: F.when(F.col("regime") == r, F.col("e"))
+    by_regime = [c for r in REGIMES for c in (F.count(of(r)).alias(f"{r}_n"), F.sqrt(F.avg(of(r) * of(r))).alias(f"{r}_rmse"))]
+    end = F.max_by("e", F.when(F.col("e").isNotNull(), F.struct("t", "seq"))).alias("end")
+    return x.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col("e").isNotNull().cast("double")).alias("coverage"), *aggregates.error_stats(F.col("e")), *by_regime, end, F.sum("way").alias("way"), F.sum("r_way").alias("r_way"))
+
+
 def on_map_summary(df: DataFrame, points: Sequence[tuple[float, float]], *, s_true: str, gate: float, key: str = "run") -> DataFrame:
     """Along-track and cross-track errors of positions within ``gate`` of the map and not past its ends."""
     p = geometry.project(df, points).withColumn("on_map", (F.col("foot.dist") <= gate) & ~F.col("beyond"))

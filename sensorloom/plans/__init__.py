@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.plans import evaluation, joins, metrics, registry, rows, stateful, windows
+from sensorloom.plans import evaluation, joins, metrics, registry, rows, stateful, stores, windows
 
-MODULES = (joins, windows, rows, metrics, stateful, evaluation)
+MODULES = (joins, windows, rows, metrics, stateful, evaluation, stores)
 
 
 def queries() -> dict[str, registry.Query]:

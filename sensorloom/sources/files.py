@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 from collections.abc import Mapping
 from dataclasses import fields, replace
 from typing import Any, TypeVar
@@ -22,14 +23,35 @@ def read_route(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def read_branches(spark: SparkSession, path: str) -> DataFrame:
     """``loop, from, to, branch, k, x, y, z`` of a file {loop: {from, to, branches: [{name, x, y, z}]}}."""
+    return branches_of(spark.read.text(path, wholetext=True))
+
+
+def branches_of(texts: DataFrame) -> DataFrame:
+    """The same of files' texts, as ``value``."""
     branch = "struct<name:string,x:array<double>,y:array<double>,z:array<double>>"
     schema = f"loops map<string,struct<`from`:string,`to`:string,branches:array<{branch}>>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json(F.concat(F.lit('{"loops":'), "value", F.lit("}")), schema).alias("f"))
+    raw = texts.select(F.from_json(F.concat(F.lit('{"loops":'), "value", F.lit("}")), schema).alias("f"))
     loops = raw.select(F.explode("f.loops").alias("loop", "l")).select("loop", "l.from", "l.to", F.explode("l.branches").alias("b"))
     points = loops.select("loop", "from", "to", F.col("b.name").alias("branch"), F.posexplode(F.arrays_zip("b.x", "b.y", "b.z")).alias("k", "p"))
     return points.select("loop", "from", "to", "branch", "k", "p.x", "p.y", "p.z")
 
 
+def write_branches(points: DataFrame, path: str) -> None:
+    """The inverse of ``read_branches``: the file is written aside and then put in place.
+
+    Branches are parts of a map, so they pass through the driver, one row a point.
+    """
+    loops: dict[str, dict] = {}
+    for r in points.orderBy("loop", "branch", "k").toLocalIterator():
+        loop = loops.setdefault(r["loop"], {"from": r["from"], "to": r["to"], "branches": {}})
+        b = loop["branches"].setdefault(r["branch"], {"name": r["branch"], "x": [], "y": [], "z": []})
+        for c in "xyz":
+            b[c].append(r[c])
+    with open(path + ".new", "w", encoding="utf-8") as f:
+        json.dump({n: {**loop, "branches": list(loop["branches"].values())} for n, loop in loops.items()}, f)
+    os.replace(path + ".new", path)
+
+
 def _value(text: str) -> Any:
     low = text.lower()
     if low in ("true", "false"):
@@ -42,19 +64,41 @@ def _value(text: str) -> Any:
     return text.strip("'\"")
 
 
-def read_params(path: str) -> dict[str, Any]:
+def parse_params(text: str) -> dict[str, Any]:
     """Flat ``key: value`` lines; headings (a node's name, ``ros__parameters``) and comments are skipped."""
     out = {}
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            key, colon, rest = line.split("#")[0].strip().partition(":")
-            if colon and rest.strip():
-                out[key.strip()] = _value(rest.strip())
+    for line in text.splitlines():
+        key, colon, rest = line.split("#")[0].strip().partition(":")
+        if colon and rest.strip():
+            out[key.strip()] = _value(rest.strip())
     return out
 
 
-def write_params(params: Any) -> str:
-    return "".join(f"{f.name}: {json.dumps(getattr(params, f.name))}\n" for f in fields(params))
+def read_params(path: str) -> dict[str, Any]:
+    with open(path, encoding="utf-8") as f:
+        return parse_params(f.read())
+
+
+def write_params(params: Any, node: str | None = None, notes: Mapping[str, str] | None = None) -> str:
+    """Flat lines or, for a ``node``, under its headings; ``notes`` are comments by field."""
+    notes = notes or {}
+    indent = "    " if node else ""
+    head = f"{node}:\n  ros__parameters:\n" if node else ""
+    line = lambda n: f"{indent}{n}: {json.dumps(getattr(params, n))}" + (f"  # {notes[n]}" if n in notes else "")
+    return head + "".join(line(f.name) + "\n" for f in fields(params))
+
+
+def verify_params(text: str, params: Any) -> list[str]:
+    """What a parameter file's text says otherwise than ``params``, by value and type."""
+    found, errors = parse_params(text), []
+    for f in fields(params):
+        want = getattr(params, f.name)
+        got = found.pop(f.name, None)
+        if got is None:
+            errors.append(f"{f.name} is missing")
+        elif type(got) is not type(want) or got != want:
+            errors.append(f"{f.name}: {got!r} ({type(got).__name__}) instead of {want!r} ({type(want).__name__})")
+    return errors + [f"unknown: {name}" for name in sorted(found)]
 
 
 def with_values(params: P, values: Mapping[str, Any]) -> P:

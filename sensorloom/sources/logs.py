@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,17 +56,77 @@ class LogSource(DataSource):
         return LogReader(self.options)
 
 
+def log_file(path: str) -> str:
+    """The log that ``path`` names: itself, or the first of its folder by name; else an error."""
+    if path.endswith(".db3"):
+        return path
+    found = sorted(glob.glob(os.path.join(glob.escape(path), "*.db3")))
+    if not found:
+        raise FileNotFoundError(f"no .db3 in {path}")
+    return found[0]
+
+
+def read_metadata(spark: SparkSession, pattern: str) -> DataFrame:
+    """``path, start_us, duration_us`` of log folders' metadata files; null where a file does not say."""
+    text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    number = lambda key, unit: (F.try_element_at(F.regexp_extract_all("value", F.lit(rf"{key}:\s*{unit}:\s*(\d+)"), 1), F.lit(1)).cast("long") / 1000).cast("long")
+    return text.select("path", number("starting_time", "nanoseconds_since_epoch").alias("start_us"), number("duration", "nanoseconds").alias("duration_us"))
+
+
 def read_logs(spark: SparkSession, paths: list[str], topics: tuple[str, ...] = ()) -> DataFrame:
+    """Messages of logs, each a file or a folder with one."""
+    paths = [log_file(p) for p in paths]
     spark.dataSource.register(LogSource)
     return spark.read.format("sensorlog").option("paths", ",".join(paths)).option("topics", ",".join(topics)).load()
 
 
-def write_cache(samples: DataFrame, path: str, key: str = "run") -> None:
-    """Columnar cache by run; only the runs at hand are replaced, each as a whole."""
+def _entries(spark: SparkSession, path: str, key: str) -> tuple:
+    """Hadoop's file system, its path class, and the names of the runs' folders under ``path``."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    base = new(path)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(base)] if files.exists(base) else []
+    return files, new, [n for n in names if n.startswith(f"{key}=")]
+
+
+def write_cache(samples: DataFrame, path: str, key: str = "run", force: bool = False) -> int:
+    """Columnar cache, one folder a run; returns the number of runs written.
+
+    Runs that it holds are skipped, or replaced with ``force``.  A run appears by one rename of a whole
+    folder, so readers see all of it or none, and a job that dies leaves no half run behind.
+    """
+    spark = samples.sparkSession
+    files, new, there = _entries(spark, path, key)
+    if there and not force:
+        known = spark.createDataFrame([(n.split("=", 1)[1],) for n in there], "__run string")
+        samples = samples.join(F.broadcast(known), F.col(key).cast("string") == F.col("__run"), "left_anti")
+    aside = f"{path}/_new-{uuid.uuid4().hex}"
     out = samples.repartition(F.col(key)).sortWithinPartitions(key, "stream", "seq")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    try:
+        out.write.partitionBy(key).parquet(aside)
+        _, _, written = _entries(spark, aside, key)
+        for name in written:
+            target = new(f"{path}/{name}")
+            if files.exists(target):
+                files.delete(target, True)
+            files.rename(new(f"{aside}/{name}"), target)
+    finally:
+        files.delete(new(aside), True)
+    return len(written)
 
 
 def read_cache(spark: SparkSession, path: str, runs: tuple[str, ...] = ()) -> DataFrame:
     df = spark.read.parquet(path)
     return df.filter(F.col("run").isin(*runs)) if runs else df
+
+
+ESTIMATE = "run long, seq long, t long, v double"
+
+
+def write_estimate(estimate: DataFrame, path: str) -> None:
+    """An estimator's answers, as any evaluation reads them."""
+    estimate.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ESTIMATE.split(", ")]).write.mode("overwrite").parquet(path)
+
+
+def read_estimate(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ESTIMATE).parquet(path)

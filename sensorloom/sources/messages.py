@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Layout after the header, by message kind: struct codes of the fields in order.
+#: Layout after the header, by message kind: struct codes of the fields in order; those without a name are passed over.
 LAYOUTS = {
     "VelocitySensor": (("v", "d"),),
     "DriverControllerCommand": (("position", "b"),),
     "NavSatFix": (("status", "b"), ("service", "H"), ("lat", "d"), ("lon", "d"), ("alt", "d"), *((f"cov{i}", "d") for i in range(9)), ("cov_type", "B")),
+    "Odometry": (("", "text"), *((n, "d") for n in ("x", "y", "z", "qx", "qy", "qz", "qw")), *(("", "d"),) * 36, ("vx", "d"), ("vy", "d"), ("vz", "d"), ("", "d"), ("", "d"), ("wz", "d")),
     "TwistStamped": tuple((n, "d") for n in ("vx", "vy", "vz", "wx", "wy", "wz")),
 }
 SCHEMA = "t_us long, frame string, fields map<string, double>"
@@ -27,6 +28,9 @@ def decode(kind: str, data: bytes) -> tuple[int, str, dict[str, float]] | None:
 
     def take(code: str):
         nonlocal at
+        if code == "text":
+            at += take("I")
+            return 0.0
         size = struct.calcsize(code)
         at += -(at - 4) % size
         (value,) = struct.unpack_from("<" + code, data, at)
@@ -37,7 +41,7 @@ def decode(kind: str, data: bytes) -> tuple[int, str, dict[str, float]] | None:
         sec, nsec, length = take("i"), take("I"), take("I")
         frame = data[at : at + length - 1].decode("utf-8", "replace")
         at += length
-        return sec * 1_000_000 + nsec // 1000, frame, {name: float(take(code)) for name, code in layout}
+        return sec * 1_000_000 + nsec // 1000, frame, {name: x for name, x in [(name, float(take(code))) for name, code in layout] if name}
     except struct.error:
         return None
 
@@ -57,7 +61,11 @@ def encode(kind: str, sec: int, nsec: int, frame: str, fields: dict[str, float])
     put("I", len(text))
     out.extend(text)
     for name, code in LAYOUTS[kind]:
-        put(code, fields[name] if code == "d" else int(fields[name]))
+        if code == "text":
+            put("I", len(text))
+            out.extend(text)
+        else:
+            put(code, fields.get(name, 0.0) if code == "d" else int(fields[name]))
     return bytes(out)
 
 

@@ -18,6 +18,14 @@ from pyspark.sql import types as T
 Rows = Callable[[pd.DataFrame], Iterator[tuple] | pd.DataFrame]
 
 
+def by_run(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by run to as many partitions as shuffles have.
+
+    The number is given, as the walk costs far more than its bytes tell: partitions must not be united.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def per_run(df: DataFrame, step: Rows, schema: str, *, key: str = "run", order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
     """``step`` over each run's ordered rows.
 
@@ -46,7 +54,7 @@ def per_run(df: DataFrame, step: Rows, schema: str, *, key: str = "run", order:
         if held:
             yield answer(held)
 
-    return df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(walk, schema)
+    return by_run(df.filter(F.col(key).isNotNull()), key).sortWithinPartitions(key, *order).mapInPandas(walk, schema)
 
 
 def lag_filter(df: DataFrame, *, tau: float) -> DataFrame:

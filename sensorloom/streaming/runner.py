@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sensorloom.operators.recurrences import by_run
 from sensorloom.streaming.steps import Config, State, Track, dump, load, replay
 
 OUTPUT = "run long, seq long, t_eff long, flag int, v double, var double, state string, slip boolean, way double, var_way double, bias double, mode string"
@@ -39,7 +40,7 @@ def estimate(messages: DataFrame, config: Config = Config(), track: Track | None
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TYPES, strict=True)], _NAMES)
 
     m = messages.select(F.col("run").cast("long").alias("run"), F.col("seq").cast("long").alias("seq"), F.col("t").cast("long").alias("t"), "stream", F.col("value").cast("double").alias("value"))
-    return m.repartition("run").sortWithinPartitions("run", "seq").mapInArrow(walk, OUTPUT)
+    return by_run(m, "run").sortWithinPartitions("run", "seq").mapInArrow(walk, OUTPUT)
 
 
 def estimate_stream(messages: DataFrame, config: Config = Config(), *, idle: str | None = None, track: Track | None = None) -> DataFrame:

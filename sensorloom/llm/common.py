@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give unused Arrow memory back: a worker lives on through many stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` that hold about ``limit`` bytes of text each (one row at least)."""
     n = batch.num_rows

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm import repeats
-from sensorloom.llm.common import BROADCAST_ROWS, Words, gram_hashes, materialise, mix64, text_bytes, text_chunks
+from sensorloom.llm.common import BROADCAST_ROWS, Words, gram_hashes, materialise, mix64, release, text_bytes, text_chunks
 from sensorloom.llm.components import components
 
 _U = np.uint64
@@ -49,6 +49,8 @@ _U = np.uint64
 _T, _OF = 4, 5
 #: Sets beyond this size never enumerate: one of 64 elements has over 10^9 subsets.
 _LARGEST = 64
+#: Elements that a worker gathers before it sends them on.
+_EMIT = 100_000
 #: Comparisons of a set with a list's pivots that the boundary's cost counts at most.
 _SETTLED = 4
 #: Partners of a pivot that one task compares; a class is hot if it has more than one in _HOT rows.
@@ -134,8 +136,10 @@ def _scan(k: int, buckets: int):
                         state["n"] += len(prefix)
                 if state["n"] >= repeats.BLOCK_KEYS or len(state["ids"]) >= 200_000:
                     yield flush()
+                    release()
         if state["ids"]:
             yield flush()
+        release()
 
     return run
 
@@ -215,17 +219,34 @@ def _elements(k: int, below: int | None = None):
     """(h, sid, n) for the elements of sets or, with ``below``, for their subset keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs: list[np.ndarray] = []
+        sids: list[int] = []
+        ns: list[int] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            lens = [len(h) for h in hs]
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.repeat(np.array(sids, np.int64), lens)), pa.array(np.repeat(np.array(ns, np.int32), lens))], ["h", "sid", "n"])
+            hs.clear()
+            sids.clear()
+            ns.clear()
+            held = 0
+            return out
+
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                hs, sids, ns = [], [], []
-                for sid, n, z, size in zip(*(batch.slice(row, 256).column(c).to_pylist() for c in ("sid", "n", "z", "size")), strict=True):
+            for row in range(0, batch.num_rows, 64):
+                for sid, n, z, size in zip(*(batch.slice(row, 64).column(c).to_pylist() for c in ("sid", "n", "z", "size")), strict=True):
                     h = _load(z, size, k)
-                    h = h.view(np.int64) if below is None else _subsets(h, below)
-                    hs.append(h)
-                    sids.append(np.full(len(h), sid, np.int64))
-                    ns.append(np.full(len(h), n, np.int32))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns))], ["h", "sid", "n"])
+                    hs.append(h.view(np.int64) if below is None else _subsets(h, below))
+                    sids.append(sid)
+                    ns.append(n)
+                    held += len(hs[-1])
+                    if held >= _EMIT:
+                        yield flush()
+        if hs:
+            yield flush()
+        release()
 
     return run
 

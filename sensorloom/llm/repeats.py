@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import materialise, mix64
 
 #: Keys that a worker gathers before it sends a block.
-BLOCK_KEYS = 1_500_000
+BLOCK_KEYS = 1_000_000
 #: Text bytes a bucket of the key space stands for.
 BUCKET_BYTES = 24 << 20
 #: Cells of a block, and blocks that the second level merges.

@@ -53,6 +53,8 @@ def write_branches(points: DataFrame, path: str) -> None:
 
 
 def _value(text: str) -> Any:
+    if text.startswith("["):
+        return tuple(json.loads(text))
     low = text.lower()
     if low in ("true", "false"):
         return low == "true"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
 def release() -> None:
-    """Give unused Arrow memory back: a worker lives on through many stages."""
+    """Give unused memory of Arrow and numpy back: a worker lives on through many stages."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of ``batch`` that hold about ``limit`` bytes of text each (one row at least)."""
+    """Row ranges of ``batch`` that hold about ``limit`` bytes of text each (one row at least).
+
+    What the ranges used is given back when the batch ends.
+    """
     n = batch.num_rows
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
@@ -40,6 +52,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield lo, hi
         lo = hi
+    release()
 
 
 def text_bytes(batch: pa.RecordBatch, lo: int, hi: int, column: str = "text") -> list[bytes]:

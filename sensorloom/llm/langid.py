@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from sensorloom.llm.common import BROADCAST_ROWS, mix64, text_chunks
 
 UNKNOWN = "und"
+#: Bytes of text whose n-grams a worker holds at once; they take over a hundred times as many.
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -104,7 +106,7 @@ def train(docs: DataFrame, usable: Column, *, text_col: str = "text", label_col:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), n_buckets), dtype=np.int64)
         for batch in batches:
-            for lo, hi in text_chunks(batch, "t"):
+            for lo, hi in text_chunks(batch, "t", CHUNK_BYTES):
                 b, o = features([t or "" for t in batch.column("t").slice(lo, hi - lo).to_pylist()], settings)
                 lang = batch.column("_at").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[o]
                 total += np.bincount(lang.astype(np.int64) * n_buckets + b, minlength=total.size).reshape(total.shape)
@@ -149,7 +151,7 @@ def identify(docs: DataFrame, model: Model, *, columns: list[str], text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_chunks(batch, "__t"):
+            for lo, hi in text_chunks(batch, "__t", CHUNK_BYTES):
                 part = batch.slice(lo, hi - lo)
                 lang, p = score([t or "" for t in part.column("__t").to_pylist()], shared.value, settings)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(p, pa.float64())], schema.fieldNames())

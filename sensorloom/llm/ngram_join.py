@@ -291,6 +291,8 @@ def _compare(k: int):
                         links.append((r["label"], r["plabel"]))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+        held.clear()
+        release()
 
     return run
 

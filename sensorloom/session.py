@@ -11,13 +11,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, where the session does not say; Spark's own 64 MB are
+#: held several times over by the executor and the worker.
+_BATCH_SETTING, _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the session's Python workers import this package, wherever they run.
+    """Let the session's Python workers import this package, wherever they run, and bound their batches.
 
     Spark's own file server hands the archive out; done once an application.
     """
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, _BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

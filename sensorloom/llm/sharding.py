@@ -1,7 +1,7 @@
 """Sharding: a two-pass external shuffle into equal shards.
 
 Pass one scatters records into memory-sized buckets by a seeded hash; pass two shuffles each
-bucket in memory (Fisher-Yates, seeded by bucket).  Buckets in order, each in its shuffled
+bucket (Fisher-Yates over its records in order of their keys, seeded by bucket).  Buckets in order, each in its shuffled
 order, are one random order of all records; shards are equal consecutive runs of it, so that
 the ``rows`` law holds: shard sizes differ by one at most.
 
@@ -17,6 +17,8 @@ of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,11 +43,14 @@ def _free(name: str, columns: list[str]) -> str:
     return name
 
 
+def _atomic(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def _plain(field: T.StructField) -> Column:
     """A column as something that can be hashed and measured."""
-    atomic = isinstance(field.dataType, (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
     c = F.col(f"`{field.name}`")
-    return c if atomic else F.to_json(F.struct(c))
+    return c if _atomic(field) else F.to_json(F.struct(c))
 
 
 def _bytes(field: T.StructField) -> Column:
@@ -60,17 +65,20 @@ def _numbered(docs: DataFrame, key: Column, name: str) -> DataFrame:
     hashed = docs.withColumn(name, key)
     if hashed.groupBy(name).count().filter("count > 1").isEmpty():
         return hashed
-    row, copy, times = (_free(n, docs.columns) for n in ("__row", "__copy", "__times"))
-    orderable = [_plain(f).alias(f.name) for f in docs.schema.fields]
-    equal = hashed.select(F.struct(*orderable).alias(row), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(copy), name)
-    counted = equal.groupBy(row, name).agg(F.first(copy).alias(copy), F.count(F.lit(1)).alias(times))
-    dealt = counted.select(copy, name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times))
+    times = _free("__times", docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    told = {f.name: _free(f"__as_text_{i}", docs.columns) for i, f in enumerate(docs.schema.fields) if not _atomic(f)}
+    by = [_plain(f).alias(told.get(f.name, f.name)) for f in docs.schema.fields]
+    counted = hashed.groupBy(name, *by).agg(F.count(F.lit(1)).alias(times), *[F.first(f"`{c}`").alias(c) for c in told])
+    # a table: the buckets' counts read two of its columns
+    counted = materialise(counted.select(*own, name, times), "shard-records")
+    dealt = counted.select(*own, name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times))
     # the first keeps the key that it would have without copies
-    return dealt.select(F.col(f"{copy}.*"), F.when(F.col(times) == 1, F.col(name)).otherwise(F.xxhash64(name, times)).alias(name))
+    return dealt.select(*own, F.when(F.col(times) == 1, F.col(name)).otherwise(F.xxhash64(name, times)).alias(name))
 
 
 def _starts(counts: DataFrame) -> DataFrame:
-    """``bucket, first``: records in all buckets before each one.
+    """``bucket, n, first``: records of each bucket and in all before it.
 
     Sums run within spans of buckets and then over the spans, so no task holds all buckets.
     """
@@ -79,40 +87,48 @@ def _starts(counts: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select("span", before.alias("base"))  # one row for _SPAN buckets
     within = F.coalesce(F.sum("n").over(Window.partitionBy("span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spans.withColumn("within", within).join(bases, "span").select("bucket", (F.col("base") + F.col("within")).alias("first"))
+    return spans.withColumn("within", within).join(bases, "span").select("bucket", "n", (F.col("base") + F.col("within")).alias("first"))
+
+
+def _places(seed: int):
+    """(bucket, places): where each of a bucket's records goes, by their order in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n, first in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "first")), strict=True):
+                order = np.arange(n)
+                np.random.Generator(np.random.PCG64([seed, b])).shuffle(order)  # Fisher-Yates
+                place = np.empty(n, np.int64)
+                place[order] = first + np.arange(n)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([place], pa.list_(pa.int64()))], ["bucket", "places"])
+
+    return run
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 24, *, seed: int = 20_240_917, bucket_bytes: int = 4 << 20) -> DataFrame:
     """All columns of ``docs`` plus ``shard int`` and ``slot long``.
 
-    ``bucket_bytes``: bytes of whole records that one bucket holds on average, the memory of pass two.
+    ``bucket_bytes``: bytes of whole records that one bucket holds on average.
     """
     docs = docs.drop("shard", "slot")
-    key, bucket = _free("__key", docs.columns), _free("__bucket", docs.columns)
+    key, bucket, no, of, places, at = (_free(n, docs.columns) for n in ("__key", "__bucket", "__no", "__of", "__places", "__at"))
     size = sum((_bytes(f) for f in docs.schema.fields), F.lit(0)).cast("long")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     rows, buckets = total["n"], max(1, -(-(total["b"] or 0) // bucket_bytes))
     keyed = _numbered(docs, F.xxhash64(F.lit(seed), *[_plain(f) for f in docs.schema.fields]), key)
     scattered = keyed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(buckets)).cast("long"))
     starts = materialise(_starts(scattered.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))), "shard-starts")
+
+    # The permutation is drawn by number, so texts stay out of Python; it has a number for each record
+    # and is never broadcast.
+    drawn = starts.mapInArrow(_places(seed), "bucket long, places array<long>").select(F.col("bucket").alias(of), F.col("places").alias(places))
+    ties = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))]
+    ordered = scattered.withColumn(no, F.row_number().over(Window.partitionBy(bucket).orderBy(key, *ties)))
+    placed = ordered.join(drawn.hint("merge"), F.col(bucket) == F.col(of)).withColumn(at, F.get(places, F.col(no) - 1))
     base, extra = divmod(rows, shards)
-    ties = [(f.name, "ascending") for f in docs.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))]
-
-    def place(table: pa.Table, start: pa.Table) -> pa.Table:
-        table = table.sort_by([(key, "ascending"), *ties])
-        order = np.arange(table.num_rows)
-        if table.num_rows:
-            np.random.Generator(np.random.PCG64([seed, table.column(bucket)[0].as_py()])).shuffle(order)  # Fisher-Yates
-        at = (start["first"][0].as_py() if start.num_rows else 0) + np.arange(table.num_rows)
-        edge = extra * (base + 1)
-        long_part = at < edge
-        shard = np.where(long_part, at // (base + 1), extra + (at - edge) // max(base, 1))
-        slot = np.where(long_part, at % (base + 1), (at - edge) % max(base, 1))
-        out = table.take(pa.array(order)).drop_columns([bucket, key])
-        return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return scattered.groupBy(bucket).cogroup(starts.groupBy("bucket")).applyInArrow(place, schema)
+    edge = extra * (base + 1)
+    cut = lambda op, lead: F.expr(f"CASE WHEN `{at}` < {edge}L THEN `{at}` {op} {base + 1}L ELSE {lead} + (`{at}` - {edge}L) {op} {max(base, 1)}L END")
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], cut("div", extra).cast("int").alias("shard"), cut("%", 0).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

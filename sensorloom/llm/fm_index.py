@@ -10,16 +10,34 @@ import numpy as np
 
 SAMPLE = 8
 _ALL = ~np.uint64(0)
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BELOW = _BIT - np.uint64(1)
+
+
+class OpenBits:
+    """One bit vector as plain words with the ones before each, while a batch passes through it."""
+
+    __slots__ = ("words", "before")
+
+    def __init__(self, words: np.ndarray, before: np.ndarray):
+        self.words, self.before = words, before
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[at & 63])
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] & _BIT[at & 63]) != 0
 
 
 class BitVector:
     """Bits in words of 64, of which only those that are neither all zeros nor all ones are stored.
 
-    Eight words are a block with its count of ones and of stored words; a word has its count within the
-    block.  A transform of repetitive text has long runs, so most words need no storing.
+    Eight words are a block with its count of ones; a word has its count within the block.  A transform of repetitive text has long runs, so most words need no storing.
     """
 
-    __slots__ = ("stored", "mixed", "full", "before", "stored_before", "within")
+    __slots__ = ("stored", "mixed", "full", "before", "within")
 
     def __init__(self, bits: np.ndarray):
         blocks = len(bits) // 512 + 1
@@ -27,30 +45,20 @@ class BitVector:
         padded[: len(bits)] = bits
         words = np.packbits(padded, bitorder="little").view(np.uint64)
         mixed = (words != 0) & (words != _ALL)
-        self.stored = np.r_[words[mixed], np.uint64(0)]
+        self.stored = words[mixed]
         self.mixed = np.packbits(mixed, bitorder="little")
         self.full = np.packbits(words == _ALL, bitorder="little")
         ones = np.bitwise_count(words).astype(np.int64).reshape(-1, 8)
         self.before = np.cumsum(np.r_[0, ones.sum(axis=1)]).astype(np.uint32)
-        self.stored_before = np.cumsum(np.r_[0, mixed.reshape(-1, 8).sum(axis=1)]).astype(np.uint32)
         self.within = (np.cumsum(ones, axis=1) - ones).astype(np.uint16).ravel()
 
-    def _word(self, word: np.ndarray) -> np.ndarray:
-        block, j = word >> 3, (word & 7).astype(np.uint8)
-        mixed = self.mixed[block]
-        here = (mixed >> j) & 1 == 1
-        at = self.stored_before[block] + np.bitwise_count(mixed & ((np.uint8(1) << j) - np.uint8(1)))
-        plain = np.where((self.full[block] >> j) & 1 == 1, _ALL, np.uint64(0))
-        return np.where(here, self.stored[np.where(here, at, 0)], plain)
-
-    def rank(self, at: np.ndarray) -> np.ndarray:
-        """Ones before each position."""
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        below = self._word(word) & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.before[word >> 3].astype(np.int64) + self.within[word] + np.bitwise_count(below)
-
-    def get(self, at: np.ndarray) -> np.ndarray:
-        return (self._word(at >> 6) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    def opened(self) -> OpenBits:
+        """All words and counts, for a batch of positions."""
+        n = len(self.within)
+        mixed = np.unpackbits(self.mixed, bitorder="little") == 1
+        words = np.where(np.unpackbits(self.full, bitorder="little") == 1, _ALL, np.uint64(0))
+        words[mixed] = self.stored
+        return OpenBits(words, np.repeat(self.before[:-1].astype(np.int64), 8)[:n] + self.within)
 
     def nbytes(self) -> int:
         return sum(getattr(self, name).nbytes for name in self.__slots__)
@@ -71,7 +79,7 @@ class WaveletTree:
     def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of ``symbol`` before ``lo`` and before ``hi``, offset alike (as wavelet matrices do)."""
         for shift, (bits, zeros) in zip(self.shifts, self.levels, strict=True):
-            one = (symbol >> shift) & 1 == 1
+            one, bits = (symbol >> shift) & 1 == 1, bits.opened()
             a, b = bits.rank(lo), bits.rank(hi)
             lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
         return lo, hi
@@ -80,6 +88,7 @@ class WaveletTree:
         """The symbol at each position and its rank, offset as in ``ranks``."""
         symbol = np.zeros(len(at), np.int64)
         for shift, (bits, zeros) in zip(self.shifts, self.levels, strict=True):
+            bits = bits.opened()
             one, ones = bits.get(at), bits.rank(at)
             symbol |= one.astype(np.int64) << shift
             at = np.where(one, zeros + ones, at - ones)
@@ -130,26 +139,26 @@ class FMIndex:
         Returns each pattern's matching statistic up to ``length``, counting only suffixes that
         match elsewhere too, and its range of suffixes (left as it is once it holds a single one).
         """
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        matched = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        for k in range(1, length + 1):
+        last = text[ends - 1] + 1
+        lo, hi = self.first[last], self.first[last + 1]  # the suffixes that begin with the last symbol
+        live = np.flatnonzero(hi - lo > 1)
+        matched = (hi - lo > 1).astype(np.int64)
+        for k in range(2, length + 1):
+            if len(live) == 0:
+                break
             a, b = self.extend(text[ends[live] - k] + 1, lo[live], hi[live])
             lo[live], hi[live] = a, b
-            more = b - a > 1
-            live = live[more]
+            live = live[b - a > 1]
             matched[live] = k
-            if len(live) == 0:
-                break
         return matched, lo, hi
 
     def locate(self, rank: np.ndarray) -> np.ndarray:
         """Text positions of suffixes: steps back to a sampled one, which are added to its position."""
         at, steps, out = rank.astype(np.int64), 0, np.empty(len(rank), np.int64)
-        open_ = np.arange(len(rank))
+        open_, sampled = np.arange(len(rank)), self.is_sampled.opened()
         while len(open_):
-            known = self.is_sampled.get(at)
-            out[open_[known]] = self.samples[self.is_sampled.rank(at[known])].astype(np.int64) + steps
+            known = sampled.get(at)
+            out[open_[known]] = self.samples[sampled.rank(at[known])].astype(np.int64) + steps
             open_, at = open_[~known], at[~known]
             symbol, offset = self.tree.access(at)
             at = self.first[symbol] - self.starts[symbol] + offset

@@ -83,7 +83,7 @@ def test_bits_and_positions_of_the_compressed_index():
     rng = np.random.default_rng(8)
     for density in (0.0, 0.01, 0.5, 1.0):
         bits = np.repeat(rng.random(40) < density, rng.integers(1, 300, 40))
-        v = BitVector(bits)
+        v = BitVector(bits).opened()
         at = np.arange(len(bits) + 1)
         assert (v.rank(at) == np.r_[0, np.cumsum(bits)]).all() and (v.get(at[:-1]) == bits).all()
     symbols = np.r_[0, np.tile(np.r_[rng.integers(1, 50, 400), 0], 40)]

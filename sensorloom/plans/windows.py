@@ -225,8 +225,11 @@ def _(s, d):
 
 @register("w32_rate_statistics", over(f"g AS (SELECT run, t, t - lag(t) OVER w AS dt FROM front {OW})", "SELECT run, round(median(dt) / 1e6, 3) AS median_dt, round((count(*) - 1) / ((max(t) - min(t)) / 1e9), 6) AS rate FROM g GROUP BY run HAVING count(*) > 1"))
 def _(s, d):
+    """A run of one row has no rate and is left out before anything is divided; rows that share one stamp have an infinite one."""
     g = front(s, d).withColumn("dt", F.col("t") - F.lag("t").over(line()))
-    return g.groupBy("run").agg(F.round(F.median("dt") / 1e6, 3).alias("median_dt"), F.round((F.count(F.lit(1)) - 1) / ((F.max("t") - F.min("t")) / 1e9), 6).alias("rate"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    runs = g.groupBy("run").agg(F.median("dt").alias("dt"), F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span")).filter("n > 1")
+    rate = F.when(F.col("span") == 0, float("inf")).otherwise((F.col("n") - 1) / (F.col("span") / 1e9))
+    return runs.select("run", F.round(F.col("dt") / 1e6, 3).alias("median_dt"), F.round(rate, 6).alias("rate"))
 
 
 SESSIONS = f"g AS (SELECT run, seq, t, v, CASE WHEN t - lag(t) OVER w > {DAY // 2} THEN 1 ELSE 0 END AS new FROM s {OW}), h AS (SELECT *, sum(new) OVER w AS no FROM g {OW}), b AS (SELECT *, (row_number() OVER (PARTITION BY run, no ORDER BY t, seq) - 1) // 8 AS burst FROM h)"

@@ -13,7 +13,7 @@ from sensorloom.operators.windows import line, so_far
 from sensorloom.plans.joins import LINE, _segments_sql
 from sensorloom.plans.registry import HOUR, cmd, front, log, over, r6, rear, register
 from sensorloom.sources import logs
-from sensorloom.sources.catalog import resolve, select_runs
+from sensorloom.sources.catalog import candidates, select_runs
 from sensorloom.storage import scratch_path
 
 DAY = 24 * HOUR
@@ -36,7 +36,7 @@ def _(s, d):
 @register("s7_catalog_resolution", over("n AS (SELECT DISTINCT 'car_' || lpad(run::VARCHAR, 6, '0') AS name FROM s)", "SELECT name FROM n WHERE name LIKE '%012'"))
 def _(s, d):
     names = log(s, d).select(F.concat(F.lit("car_"), F.lpad(F.col("run").cast("string"), 6, "0")).alias("name")).distinct()
-    return resolve(names, "012")
+    return candidates(names, "012")  # the SQL lists all; ``resolve`` takes more than one for an error
 
 
 @register("s19_latency_capture", over(f"l AS (SELECT run, t // {HOUR} AS stamp, min(t) AS arrived FROM front GROUP BY ALL), r AS (SELECT run, t // {HOUR} AS stamp, min(t) AS left_ FROM rear GROUP BY ALL)", "SELECT run, stamp, left_ - arrived AS latency FROM l JOIN r USING (run, stamp)"))

@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def candidates(names: DataFrame, wanted: str) -> DataFrame:
+    """All runs whose names end in ``wanted``."""
+    return names.filter(F.endswith("name", F.lit(wanted)))
+
+
 def resolve(names: DataFrame, wanted: str) -> DataFrame:
     """The run whose name is ``wanted``, or the only one that ends so; else an error."""
-    found = names.filter((F.col("name") == wanted) | F.endswith("name", F.lit(wanted)))
-    rows = found.limit(3).collect()
+    found = candidates(names, wanted)
+    rows = found.orderBy(F.col("name") != wanted, "name").limit(3).collect()
     if len([r for r in rows if r["name"] == wanted]) == 1:
         return names.filter(F.col("name") == wanted)
     if len(rows) != 1:

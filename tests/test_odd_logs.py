@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from sensorloom import plans
+from sensorloom.sources import catalog
 from tests.compare import difference
 
 TYPES = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR"
@@ -33,3 +34,15 @@ def at(s: float) -> str:
 def test_rate_of_single_rows_and_of_one_stamp(differs):
     rows = [(1, at(1), 2.0), (2, at(1), 2.0), (2, at(3.5), 2.0), (2, at(4), 2.0), (3, at(7), 2.0), (3, at(7), 2.0), (4, None, 2.0), (4, None, 2.0), (None, at(1), 2.0), (None, at(2), 2.0)]
     assert differs("w32_rate_statistics", rows) == ""
+
+
+def test_every_run_that_ends_so_is_listed(differs):
+    rows = [(r, at(1), 2.0) for r in (12, 1012, 1012, 5012, 7012, 120, 1000012, -12, None)]
+    assert differs("s7_catalog_resolution", rows) == ""
+
+
+def test_a_full_name_is_found_among_many_that_end_so(spark):
+    names = spark.createDataFrame([(n,) for n in ("a_12", "b_12", "c_12", "d_12", "12")], "name string")
+    assert [r.name for r in catalog.resolve(names, "12").collect()] == ["12"]
+    with pytest.raises(ValueError, match="several runs: a_12, b_12, c_12"):
+        catalog.resolve(names, "_12")

@@ -44,12 +44,14 @@ def _(s, d):
 @register("s8_metadata", over("", "SELECT run, min(t) AS start_us, max(t) - min(t) AS duration_us FROM s GROUP BY run"))
 def _(s, d):
     path = scratch_path(s, "metadata")
-    spans = log(s, d).groupBy("run").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    yaml = F.format_string("info:\n  run: %d\n  duration:\n    nanoseconds: %d\n  starting_time:\n    nanoseconds_since_epoch: %d\n", "run", (F.col("b") - F.col("a")) * 1000, F.col("a") * 1000)
+    us = lambda c: c.cast("decimal(20,0)")
+    spans = log(s, d).groupBy("run").agg(us(F.min("t")).alias("a"), us(F.max("t")).alias("b"))
+    ns = lambda c: (c * 1000).cast("string")
+    yaml = F.format_string("info:\n  run: %s\n  duration:\n    nanoseconds: %s\n  starting_time:\n    nanoseconds_since_epoch: %s\n", F.col("run").cast("string"), ns(F.col("b") - F.col("a")), ns(F.col("a")))
     spans.select("run", yaml.alias("value")).repartition("run").write.partitionBy("run").text(path)
-    found = logs.read_metadata(s, f"{path}/run=*")
-    # several runs that share a task still have a file each
-    return found.select(F.regexp_extract("path", r"/run=(\d+)/", 1).cast("long").alias("run"), "start_us", "duration_us")
+    found = logs.read_metadata(s, path)
+    # several runs that share a task still have a file each; the folder of rows without a run holds no number
+    return found.select(F.regexp_extract("path", r"/run=([^/]*)/[^/]*$", 1).try_cast("long").alias("run"), "start_us", "duration_us")
 
 
 @register("s10_branches", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {float(x)!r}, {float(y)!r})" for n, points in BRANCHES.items() for k, (x, y) in enumerate(points)) + ") p(branch, k, x, y)")

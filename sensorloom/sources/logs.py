@@ -67,9 +67,13 @@ def log_file(path: str) -> str:
 
 
 def read_metadata(spark: SparkSession, pattern: str) -> DataFrame:
-    """``path, start_us, duration_us`` of log folders' metadata files; null where a file does not say."""
+    """``path, start_us, duration_us`` of log folders' metadata files; null where a file does not say.
+
+    Nanoseconds are decimals until they are whole microseconds: a double holds them to some 200 only.
+    """
     text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    number = lambda key, unit: (F.try_element_at(F.regexp_extract_all("value", F.lit(rf"{key}:\s*{unit}:\s*(\d+)"), 1), F.lit(1)).cast("long") / 1000).cast("long")
+    said = lambda key, unit: F.try_element_at(F.regexp_extract_all("value", F.lit(rf"{key}:\s*{unit}:\s*(-?\d+)"), 1), F.lit(1)).try_cast("decimal(30,0)")
+    number = lambda key, unit: F.floor(said(key, unit) / F.lit(1000).cast("decimal(4,0)")).cast("long")
     return text.select("path", number("starting_time", "nanoseconds_since_epoch").alias("start_us"), number("duration", "nanoseconds").alias("duration_us"))
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from sensorloom import plans
-from sensorloom.sources import catalog
+from sensorloom.sources import catalog, logs
 from tests.compare import difference
 
 TYPES = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR"
@@ -46,3 +46,25 @@ def test_a_full_name_is_found_among_many_that_end_so(spark):
     assert [r.name for r in catalog.resolve(names, "12").collect()] == ["12"]
     with pytest.raises(ValueError, match="several runs: a_12, b_12, c_12"):
         catalog.resolve(names, "_12")
+
+
+def test_metadata_keeps_every_microsecond(differs):
+    rows = [(run, f"2024-01-01 {run % 24:02}:30:17.{313040 + 7 * run:06}", 1.0) for run in range(200)]
+    rows += [(91, "2024-01-01 11:36:57.313040", 1.0), (91, "2024-01-31 01:00:00.093915", 1.0)]
+    assert differs("s8_metadata", rows) == ""
+
+
+def test_metadata_of_odd_runs_and_times(differs):
+    rows = [(-5, at(1), 1.0), (None, at(2), 1.0), (None, at(3), 1.0), (7, None, 1.0), (8, None, 1.0), (8, at(4), 1.0)]
+    rows += [(9, "1960-02-03 04:05:06.000001", 1.0), (9, at(5.000002), 1.0), (10, "1500-01-01 00:00:00.000001", 1.0), (10, "9999-12-31 23:59:59.999999", 1.0), (2**62, at(6), 1.0)]
+    assert differs("s8_metadata", rows) == ""
+
+
+def test_metadata_of_an_empty_log(differs):
+    assert differs("s8_metadata", []) == "no rows"
+
+
+def test_metadata_nanoseconds_are_floored(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("duration:\n  nanoseconds: 1999\nstarting_time:\n  nanoseconds_since_epoch: -1\n")
+    (r,) = logs.read_metadata(spark, str(tmp_path / "m.yaml")).collect()
+    assert (r.start_us, r.duration_us) == (-1, 1)

@@ -250,9 +250,14 @@ def _odometer(s, d):
 
 
 def _reached(od, ways):
-    """When each run's ways, an aggregate over its rows, are reached."""
+    """When each run's ways, an aggregate over its rows, are reached; rows without a run reach none.
+
+    A way that several rows show counts once, at the last of them, on both sides of what is looked up.
+    The SQL leaves open which of them it takes, and not even its own reruns agree; it takes the last most often.
+    """
+    od = od.filter("run is not null")
     q = od.groupBy("run").agg(ways.alias("ways")).select("run", F.explode("ways").alias("way"))
-    found = timeops.interpolate(q, od, value="at", t="way")
+    found = timeops.interpolate(q, timeops.last_per_key(od, ["run", "way"], "at"), value="at", t="way")
     return found.select("run", "way", F.floor(F.col("interp") / 1e6).cast("long").alias("reached_s"))
 
 

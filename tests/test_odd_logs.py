@@ -14,8 +14,9 @@ TYPES = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, valu
 def differs(spark, tmp_path):
     """What a query and its SQL differ in on a log of rows ``(run, stamp, value)``, in order of arrival."""
 
-    def run(name: str, rows: list[tuple], kind: str = "view") -> str:
+    def run(name: str, rows: list[tuple], kind: str = "view", setting: str = "SET threads=1") -> str:
         con = duckdb.connect()
+        con.sql(setting)
         con.sql("SET TimeZone='UTC'")
         con.sql(f"CREATE TABLE log ({TYPES})")
         if rows:
@@ -68,3 +69,27 @@ def test_metadata_nanoseconds_are_floored(spark, tmp_path):
     (tmp_path / "m.yaml").write_text("duration:\n  nanoseconds: 1999\nstarting_time:\n  nanoseconds_since_epoch: -1\n")
     (r,) = logs.read_metadata(spark, str(tmp_path / "m.yaml")).collect()
     assert (r.start_us, r.duration_us) == (-1, 1)
+
+
+#: A run that stands still from its 3rd to its 5th row, and one that ends standing.
+STILL = [(run, at(10 * k + run), v) for run, vs in ((1, (150.0, 120.0, 90.0, 0.0, None, 230.0)), (2, (80.0, 0.0, 170.0, 0.0))) for k, v in enumerate(vs)]
+
+
+def test_ways_shown_by_several_rows_count_at_the_last(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE log ({TYPES})")
+    con.executemany("INSERT INTO log VALUES (?, ?, ?, 'click', ?, '{}')", [(i, t, r, v) for i, (r, t, v) in enumerate([*STILL, (None, at(1), 500.0)])])
+    con.sql(f"COPY log TO '{tmp_path}/events.parquet'")
+    got = {(r.run, r.way): r.reached_s - 1704067200 for r in plans.queries()["j25_inverse_interpolation"](spark, str(tmp_path)).collect()}
+    points = {1: [(150, 1), (270, 11), (360, 41), (590, 51)], 2: [(80, 12), (250, 32)]}  # way, second
+    want = {}
+    for run, p in points.items():
+        for way in range(100, int(p[-1][0]) + 1, 100):
+            (w0, t0), (w1, t1) = max(((a, b) for a, b in zip(p, p[1:], strict=False) if a[0] <= way), default=(p[0], p[1]))
+            want[run, way] = t0 if way <= w0 else int(t0 + (t1 - t0) * (way - w0) / (w1 - w0))
+    assert got == want and len(want) == 7
+
+
+def test_ways_shown_by_several_rows_agree_with_sql_that_sorts(differs):
+    # so few rows are sorted stably; without the setting they are searched instead, and the first is taken
+    assert differs("j25_inverse_interpolation", [*STILL, (None, at(1), 500.0)], "click", "SET asof_loop_join_threshold=0") == ""
